@@ -6,10 +6,14 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from foliary.llm.op1_sharding import op1_ring_shards
 from foliary.llm.op4_simhash import op4_simhash
+from foliary.llm.op6_mix import op6_mix
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_ring_shards": op1_ring_shards,
     "op4_simhash": op4_simhash,
+    "op6_mix": op6_mix,
 }
 
 ORACLES: dict[str, str] = {}
