@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from foliary.llm.op1_sharding import op1_ring_shards
+from foliary.llm.op10_token_ids import op10_huffman_ids
 from foliary.llm.op4_simhash import op4_simhash
 from foliary.llm.op6_mix import op6_mix
 
@@ -14,6 +15,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_ring_shards": op1_ring_shards,
     "op4_simhash": op4_simhash,
     "op6_mix": op6_mix,
+    "op10_huffman_ids": op10_huffman_ids,
 }
 
 ORACLES: dict[str, str] = {}
