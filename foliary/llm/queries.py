@@ -12,6 +12,8 @@ from foliary.llm.op2_language import op2_language
 from foliary.llm.op4_simhash import op4_simhash
 from foliary.llm.op5_sampling import op5_sampling
 from foliary.llm.op6_mix import op6_mix
+from foliary.llm.op7_licenses import ORACLE as OP7
+from foliary.llm.op7_licenses import op7_license_scan
 from foliary.llm.op8_topk import ORACLE as OP8
 from foliary.llm.op8_topk import op8_topk
 
@@ -21,10 +23,12 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op4_simhash": op4_simhash,
     "op5_sampling": op5_sampling,
     "op6_mix": op6_mix,
+    "op7_license_scan": op7_license_scan,
     "op8_topk": op8_topk,
     "op10_huffman_ids": op10_huffman_ids,
 }
 
 ORACLES: dict[str, str] = {
+    "op7_license_scan": OP7,
     "op8_topk": OP8,
 }
