@@ -16,6 +16,7 @@ from foliary.llm.op7_licenses import ORACLE as OP7
 from foliary.llm.op7_licenses import op7_license_scan
 from foliary.llm.op8_topk import ORACLE as OP8
 from foliary.llm.op8_topk import op8_topk
+from foliary.llm.op9_pii import op9_pii_surrogates
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_ring_shards": op1_ring_shards,
@@ -25,6 +26,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op6_mix": op6_mix,
     "op7_license_scan": op7_license_scan,
     "op8_topk": op8_topk,
+    "op9_pii_surrogates": op9_pii_surrogates,
     "op10_huffman_ids": op10_huffman_ids,
 }
 
