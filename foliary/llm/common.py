@@ -4,9 +4,13 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Callable, Iterator
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_type
 
 #: White space of the word rule: space and the control characters tab to carriage return.
 WORD = r"[^\x20\x09-\x0D]+"
@@ -64,3 +68,27 @@ def in_values(spark: SparkSession, rows: list[tuple], schema: str) -> DataFrame:
     body = ",".join("(" + ",".join("NULL" if v is None else str(v) for v in r) + ")" for r in rows)
     cast = ", ".join(f"CAST({n} AS {t}) AS {n}" for n, t in zip(names, types, strict=True))
     return spark.sql(f"SELECT {cast} FROM VALUES {body} AS t({', '.join(names)})")
+
+
+def with_made(docs: DataFrame, read: list[str], made: str, maker: Callable[[], Callable[..., list]]) -> DataFrame:
+    """docs with columns made by Python, all other columns passed on as Arrow data, unseen.
+
+    made is their DDL; a column of docs with such a name is replaced. maker() is called once per task and gives a
+    function of the lists of the columns of `read` that returns one list per made column.
+    """
+    fields = T.StructType.fromDDL(made).fields
+    names = [f.name for f in fields]
+    types = [to_arrow_type(f.dataType) for f in fields]
+    kept = [c for c in docs.columns if c not in names]
+    extra = [F.col(c).alias(f"__read{i}") for i, c in enumerate(read)]
+    n = len(kept)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        make = maker()
+        for b in batches:
+            lists = make(*[b.column(n + i).to_pylist() for i in range(len(read))])
+            new = [pa.array(x, t) for x, t in zip(lists, types, strict=True)]
+            yield pa.RecordBatch.from_arrays([*b.columns[:n], *new], names=[*b.schema.names[:n], *names])
+
+    schema = T.StructType([*[docs.schema[c] for c in kept], *fields])
+    return docs.select(*kept, *extra).mapInArrow(run, schema)

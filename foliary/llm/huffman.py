@@ -69,24 +69,29 @@ def table(length: np.ndarray, limit: int = LIMIT) -> tuple[np.ndarray, np.ndarra
     return symbol, size
 
 
-def encode(ids: np.ndarray, code: np.ndarray, length: np.ndarray, first: int) -> bytes:
+def packed(length: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Codes from the top bit of a 64-bit word on, and their lengths, for encode()."""
+    return codes(length).astype(np.uint64) << (64 - length.astype(np.uint64)) % 64, length
+
+
+def encode(ids: np.ndarray, packed: tuple[np.ndarray, np.ndarray], first: int) -> bytes:
     """A block: magic, first global position, number of ids, checkpoints, bits (most significant first)."""
-    n = length[ids].astype(np.int64)
+    n = packed[1][ids]
     if n.size and n.min() == 0:
         raise ValueError("an id without a code")
-    ends = np.cumsum(n)
-    starts = ends - n
-    words = np.zeros((int(ends[-1]) if n.size else 0) // 64 + 3, np.uint64)
-    word, bit = starts >> 6, starts & 63
-    c = code[ids].astype(np.uint64)
-    shift = 64 - bit - n
-    high = np.where(shift >= 0, c << np.maximum(shift, 0).astype(np.uint64), c >> np.maximum(-shift, 0).astype(np.uint64))
-    low = np.where(shift < 0, c << (64 + np.minimum(shift, -1)).astype(np.uint64), np.uint64(0))
+    starts = np.empty(len(ids) + 1, np.int64)
+    starts[0] = 0
+    np.cumsum(n, out=starts[1:], dtype=np.int64)
+    words = np.zeros(int(starts[-1]) // 64 + 3, np.uint64)
     if n.size:
-        for part, at in ((high, word), (low, word + 1)):
-            heads = np.flatnonzero(np.r_[True, at[1:] != at[:-1]])
-            words[at[heads]] |= np.bitwise_or.reduceat(part, heads)
-    marks = starts[::STRIDE].astype("<u4")
+        bit = (starts[:-1] & 63).astype(np.uint8)
+        code = packed[0][ids]
+        heads = np.flatnonzero(bit < np.r_[np.uint8(64), bit[:-1]])  # the first code that begins in a word
+        at = starts[heads] >> 6
+        words[at] = np.bitwise_or.reduceat(code >> bit, heads)
+        over = np.flatnonzero(bit + n > 64)  # a code that goes on in the next word
+        words[(starts[over] >> 6) + 1] |= code[over] << (64 - bit[over]).astype(np.uint64)
+    marks = starts[:-1:STRIDE].astype("<u8")
     return MAGIC + struct.pack("<QII", first, len(ids), len(words)) + marks.tobytes() + words.astype(">u8").tobytes()
 
 
@@ -96,16 +101,15 @@ def decode(block: bytes, symbol: np.ndarray, size: np.ndarray, limit: int = LIMI
         raise ValueError("not a block of ids")
     first, n, words = struct.unpack_from("<QII", block, 4)
     k = -(-n // STRIDE)
-    at = np.frombuffer(block, "<u4", k, 20).astype(np.int64)
-    bits = np.frombuffer(block, ">u8", words, 20 + 4 * k).astype(np.uint64)
+    at = np.frombuffer(block, "<u8", k, 20).astype(np.int64)
+    bits = np.frombuffer(block, ">u8", words, 20 + 8 * k).astype(np.uint64)
     out = np.zeros((STRIDE, k), np.uint32)
     last = n - STRIDE * (k - 1)
+    top, one, most = np.uint64(64 - limit), np.uint64(1), np.uint64(63)
     for step in range(STRIDE if k > 1 else n):
-        live = k if step < last else k - 1
-        p = at[:live]
+        p = at if step < last else at[: k - 1]
         w, b = p >> 6, (p & 63).astype(np.uint64)
-        seen = (bits[w] << b) | ((bits[w + 1] >> np.uint64(1)) >> (np.uint64(63) - b))
-        top = (seen >> np.uint64(64 - limit)).astype(np.int64)
-        out[step, :live] = symbol[top]
-        at[:live] += size[top]
+        seen = ((bits[w] << b) | (bits[w + 1] >> one >> (most - b))) >> top
+        out[step, : len(p)] = symbol[seen]
+        p += size[seen]
     return first, out.T.ravel()[:n] if k else out.ravel()[:0]

@@ -9,6 +9,7 @@ at most LIMIT bits long and follow from the counts of all ids, so the header of
 from __future__ import annotations
 
 import zlib
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -22,40 +23,98 @@ from foliary.llm.ordered import range_of, split_points
 
 END = 0
 #: A block takes whole documents until it has this many ids; a longer document has a block of its own.
-BLOCK_IDS = 1 << 17
-#: Words of a worker's cache of encoded words; it starts anew when full, which changes no result.
+BLOCK_IDS = 1 << 18
+#: Words of one generation of a worker's cache. When it is full, what the last generation has used is kept.
 CACHE = 400_000
+#: ASCII characters that are no letter, digit or white space; a run of them after a letter or digit is cut off by the vocabulary's pattern.
+MARKS = "!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~"
+
+
+def byte_characters() -> dict[int, int]:
+    """How byte-level vocabularies show bytes: printable Latin-1 characters as they are, the others from U+0100 on."""
+    plain = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
+    rest = [b for b in range(256) if b not in plain]
+    return {b: b for b in plain} | {b: 0x100 + i for i, b in enumerate(rest)}
+
+
+class _Odd(Exception):
+    """The text has other white space than single spaces and line feeds between words."""
+
+
+class _Words(dict):
+    """Encoded words with what stands before them, each met for the first time by the library."""
+
+    def __init__(self, ids, letters, end: bytes, before: str):
+        super().__init__()
+        self.ids, self.letters, self.end, self.before, self.old = ids, letters, end, before, {}
+        self.line = self
+
+    def __missing__(self, word: str) -> bytes:
+        out = self.old.pop(word, None)
+        if out is None:
+            if word.isalpha():
+                out = self.letters(self.before, word)
+            elif word.split() != [word]:
+                first, *rest = word.split("\n")
+                if not first or not all(rest) or any(x.split() != [x] for x in (first, *rest)):
+                    raise _Odd
+                return self.end.join([self[first], *map(self.line.__getitem__, rest)])
+            else:
+                bare = word.rstrip(MARKS)
+                if bare and bare != word and bare[-1].isalnum():
+                    out = self[bare] + self.line[word[len(bare) :]]
+                else:
+                    out = self.ids(self.before + word)
+        self[word] = out
+        return out
+
+    def age(self) -> None:
+        if len(self) > CACHE:
+            self.old = dict(self)
+            self.clear()
 
 
 class Encoder:
-    """The tokenizers library on whole texts. Texts are cut where the vocabulary's own pattern cuts them, and each
-    distinct cut is encoded once per worker; the ids are those of the library on the whole text."""
+    """The tokenizers library on whole texts, as packed ids.
+
+    The vocabulary's own pattern never joins across a single space or line feed between two other characters, nor from
+    a letter or digit to a punctuation mark, so a text is cut there and each distinct piece is encoded once per worker.
+    A text with any other white space goes to the library as a whole. Either way the ids are those of the library on
+    the whole text.
+    """
 
     def __init__(self, path: str):
-        import public_tokenizers
-        import regex
         from tokenizers import Tokenizer
 
         self.library = Tokenizer.from_file(path)
         self.library.encode_special_tokens = True
-        self.cuts = regex.compile(public_tokenizers.PATTERN).findall
-        self.seen: dict[str, tuple[int, ...]] = {}
-
-    def __call__(self, text: str) -> list[int]:
-        cuts, seen = self.cuts(text), self.seen
-        fresh = [w for w in dict.fromkeys(cuts) if w not in seen]
-        if fresh:
-            if len(seen) + len(fresh) > CACHE:
-                seen.clear()
-                fresh = list(dict.fromkeys(cuts))
-            for i in range(0, len(fresh), 4096):
-                part = fresh[i : i + 4096]
-                for w, e in zip(part, self.library.encode_batch_fast(part, add_special_tokens=False), strict=True):
-                    seen[w] = tuple(e.ids)
-        out: list[int] = []
-        for w in cuts:
-            out += seen[w]
-        return out
+        self.code = "H" if self.library.get_vocab_size() <= 1 << 16 else "I"
+        self.width = array(self.code).itemsize
+        self.model, self.shown = self.library.model, byte_characters()
+        self.space = chr(self.shown[32])
+        end = self.ids("\n")
+        self.line, self.word = (_Words(self.ids, self.letters, end, before) for before in ("", " "))
+        self.word.line = self.line
+
+    def ids(self, text: str) -> bytes:
+        return array(self.code, self.library.encode(text, add_special_tokens=False).ids).tobytes()
+
+    def letters(self, before: str, word: str) -> bytes:
+        """Ids of one piece of the pattern, straight from the library's model."""
+        if word.isascii():
+            shown = self.space + word if before else word
+        else:
+            shown = (before + word).encode().decode("latin-1").translate(self.shown)
+        return array(self.code, [t.id for t in self.model.tokenize(shown)]).tobytes()
+
+    def __call__(self, text: str) -> bytes:
+        self.line.age()
+        self.word.age()
+        first, *rest = text.split(" ")
+        try:
+            return self.line[first] + b"".join(map(self.word.__getitem__, rest))
+        except _Odd:
+            return self.ids(text)
 
 
 _encoders: dict[str, Encoder] = {}
@@ -78,18 +137,19 @@ def default_path() -> str:
 
 
 def tokenize(docs: DataFrame, id_col: str, text_col: str, path: str, points: list[int]) -> DataFrame:
-    """(bucket, doc_id, n, ids): each document's ids as little-endian uint32, and per task one row with a null bucket:
-    the n ids that the task has met and how often."""
+    """(bucket, doc_id, n, ids): each document's packed ids, and per task one row with a null bucket: the n ids that the
+    task has met, as uint32, and how often, as int64."""
     small_batches(docs.sparkSession)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         encode, counts = encoder(path), np.zeros(0, np.int64)
+        end, kind = array(encode.code, [END]).tobytes(), f"u{encode.width}"
         for b in batches:
-            found = [np.array([*encode(x), END] if isinstance(x, str) else [END], "<u4") for x in b["text"]]
-            c = np.bincount(np.concatenate(found), minlength=len(counts))
+            found = [encode(x) + end if isinstance(x, str) else end for x in b["text"]]
+            c = np.bincount(np.frombuffer(b"".join(found), kind), minlength=len(counts))
             c[: len(counts)] += counts
             counts = c
-            yield pd.DataFrame({"bucket": b["bucket"], "doc_id": b["doc_id"].astype("Int64"), "n": [len(x) for x in found], "ids": [x.tobytes() for x in found]})
+            yield pd.DataFrame({"bucket": b["bucket"], "doc_id": b["doc_id"].astype("Int64"), "n": [len(x) // encode.width for x in found], "ids": found})
         at = np.flatnonzero(counts).astype("<u4")
         yield pd.DataFrame({"bucket": [None], "doc_id": pd.array([None], "Int64"), "n": [len(at)], "ids": [at.tobytes() + counts[at].astype("<i8").tobytes()]})
 
@@ -122,20 +182,19 @@ def write_ids(docs: DataFrame, path: str | None = None, id_col: str = "doc_id",
     points = split_points(ids)
     tokens = staged(tokenize(docs, id_col, text_col, path or default_path(), points))
     length = huffman.lengths(id_counts(tokens))
-    code = huffman.codes(length)
     per = tokens.where("bucket IS NOT NULL").groupBy("bucket").agg(F.sum("n").alias("n")).collect()
     firsts, at = {}, 0
     for r in sorted(per):
         firsts[r.bucket], at = at, at + r.n
     spark = docs.sparkSession
-    known = spark.sparkContext.broadcast((firsts, code, length))
+    known = spark.sparkContext.broadcast((firsts, huffman.packed(length)))
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        firsts, code, length = known.value
+        firsts, packed = known.value
         bucket, at, have, doc_ids, sizes, held = None, 0, 0, [], [], []
 
         def block() -> pd.DataFrame:
-            out = huffman.encode(np.concatenate(held), code, length, at)
+            out = huffman.encode(np.concatenate(held), packed, at)
             return pd.DataFrame({"first": [at], "doc_ids": [doc_ids], "sizes": [sizes], "block": [out]})
 
         for b in batches:
@@ -147,7 +206,7 @@ def write_ids(docs: DataFrame, path: str | None = None, id_col: str = "doc_id",
                     bucket, at = k, firsts[k]
                 doc_ids.append(None if pd.isna(d) else int(d))
                 sizes.append(int(n))
-                held.append(np.frombuffer(x, "<u4"))
+                held.append(np.frombuffer(x, f"u{len(x) // n}"))
                 have += n
         if held:
             yield block()

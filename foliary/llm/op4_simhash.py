@@ -52,15 +52,15 @@ def fingerprint(text: str | None, words: int = WORDS) -> int:
 
 
 def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = WORDS) -> DataFrame:
-    """(doc_id, fp): fp is the fingerprint as a signed long. Every row gets one, null texts the fingerprint 0."""
+    """(doc_id, h, fp): fp is the fingerprint as a signed long, h a hash of the text. Null texts have the fingerprint 0."""
     small_batches(docs.sparkSession)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
             fp = np.array([fingerprint(x if isinstance(x, str) else None, words) for x in b["text"]], "u8")
-            yield pd.DataFrame({"doc_id": b["doc_id"].astype("Int64"), "fp": fp.view("i8")})
+            yield pd.DataFrame({"doc_id": b["doc_id"].astype("Int64"), "h": b["h"], "fp": fp.view("i8")})
 
-    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).mapInPandas(run, "doc_id long, fp long")
+    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.xxhash64(text_col).alias("h"), F.col(text_col).alias("text")).mapInPandas(run, "doc_id long, h long, fp long")
 
 
 def bit_counts(fps: DataFrame) -> np.ndarray:
@@ -209,13 +209,31 @@ def simhash_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     Rows of one doc_id each stay; a null doc_id stays null and never names a component, except one of nulls only (null).
     An empty table gives an empty result; further columns of the input are not read.
     """
+    fps, named = _grouped(docs, id_col, text_col, distance, words)
+    return fps.join(named, "fp").select("doc_id", "fp", "component_id")
+
+
+def _grouped(docs: DataFrame, id_col: str, text_col: str, distance: int, words: int) -> tuple[DataFrame, DataFrame]:
+    """The fingerprints, and (fp, root, component_id) of each distinct one."""
     fps = cut(fingerprints(docs, id_col, text_col, words))
     reps = cut(fps.groupBy("fp").agg(F.min("doc_id").alias("rep")))
     roots = components(cut(links(reps.select("fp"), distance)))
     of = reps.join(roots.select(F.col("u").alias("fp"), F.col("v").alias("root")), "fp", "left").select("fp", "rep", F.coalesce("root", "fp").alias("root"))
     ids = of.groupBy("root").agg(F.min("rep").alias("component_id"))
-    named = cut(of.join(ids, "root").select("fp", "component_id"))
-    return fps.join(named, "fp").select("doc_id", "fp", "component_id")
+    return fps, cut(of.join(ids, "root").select("fp", "root", "component_id"))
+
+
+def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", distance: int = DISTANCE, words: int = WORDS) -> DataFrame:
+    """One row of docs of each component: that of the smallest doc_id (null last), of several the one whose text has the
+    smallest hash. All columns are kept."""
+    fps, named = _grouped(docs, id_col, text_col, distance, words)
+    first = fps.join(named, "fp").groupBy("root").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "h")).alias("w"))
+    won = cut(first.select(F.col("w.doc_id").alias("__id"), F.col("w.h").alias("__h")))
+    rows = docs.select(F.struct("*").alias("doc"), F.col(id_col).cast("long").alias("__i"), F.xxhash64(text_col).alias("__t"))
+    kept = rows.join(won, F.col("__i").eqNullSafe(F.col("__id")) & (F.col("__t") == F.col("__h")), "left_semi")
+    if not fps.groupBy("doc_id", "h").count().where("count > 1").isEmpty():
+        kept = kept.dropDuplicates(["__i", "__t"])  # repeated rows
+    return kept.select(*[F.col("doc")[c].alias(c) for c in docs.columns])
 
 
 def op4_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
