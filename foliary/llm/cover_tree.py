@@ -4,43 +4,77 @@ from __future__ import annotations
 
 import numpy as np
 
-#: A node of so few points is not divided; covering radii shrink by BASE from level to level.
-LEAF, BASE = 32, 1.5
+#: A node of so few points is not divided (data, queries); covering radii shrink by BASE from level to level.
+LEAF, QUERY_LEAF, BASE = 64, 32, 1.5
 #: Points of leaves that are scored at once.
-CHUNK = 256
-
-
-class Node:
-    __slots__ = ("center", "norm", "radius", "points", "children")
-
-    def __init__(self, center: np.ndarray, radius: float, points: np.ndarray, children: list[Node]):
-        self.center, self.norm, self.points, self.children = center, float(np.sqrt(center @ center)), points, children
-        self.radius = radius * (1 + 1e-9) + 1e-6 * bool(radius)  # rounding never makes a bound too small
-
-
-def build(x: np.ndarray, points: np.ndarray, center: int) -> Node:
-    """A node covers its points within its radius; its children's centres are separated by more than their covering
-    radius, and the first child has the node's own centre."""
-    todo: list[tuple[np.ndarray, int, list[Node]]] = []
-    top: list[Node] = []
-    todo.append((points, center, top))
-    while todo:
-        own, c, into = todo.pop()
-        d = np.sqrt(((x[own] - x[c]) ** 2).sum(1))
-        radius = float(d.max())
-        node = Node(x[c], radius, own, [])
-        into.append(node)
-        if len(own) <= LEAF or radius == 0:
-            continue
-        covered, rest, dist, child = radius / BASE, own, d, c
-        while len(rest):
-            near = dist <= covered
-            todo.append((rest[near], child, node.children))
-            rest = rest[~near]
-            if len(rest):
-                child = int(rest[0])
-                dist = np.sqrt(((x[rest] - x[child]) ** 2).sum(1))
-    return top[0]
+CHUNK = 1024
+
+
+def ranges(lo: np.ndarray, n: np.ndarray) -> np.ndarray:
+    """The numbers lo .. lo + n - 1 of each pair, one after another."""
+    ends = np.cumsum(n)
+    return np.repeat(lo - (ends - n), n) + np.arange(ends[-1] if len(ends) else 0)
+
+
+class Tree:
+    """Nodes as arrays, level by level, children side by side: centre (a point), its norm, covering radius, first child
+    and number of children; order lists the points of leaves, each leaf's from lo on.
+
+    A node covers its points within its radius; its children's centres are separated by more than their covering radius,
+    and the first child has the node's own centre.
+    """
+
+    def __init__(self, x: np.ndarray, leaf: int = LEAF):
+        self.x, square = x, (x * x).sum(1)
+
+        def distance(points: np.ndarray, c: int) -> np.ndarray:
+            return np.sqrt(np.maximum(square[points] + square[c] - 2 * (x[points] @ x[c]), 0))
+
+        nodes = [(np.arange(len(x)), 0)]
+        radius, first, children, lo, size, order = [], [], [], [], [], []
+        at = 0
+        while at < len(nodes):
+            own, c = nodes[at]
+            nodes[at] = (own[:0], c)
+            d = distance(own, c)
+            far = float(d.max())
+            radius.append(far * (1 + 1e-9) + 1e-6 * bool(far))  # rounding never makes a bound too small
+            first.append(len(nodes))
+            lo.append(len(order))
+            size.append(0)
+            if len(own) <= leaf or far == 0:
+                order += own.tolist()
+                size[-1] = len(own)
+            else:
+                rest, child = own, c
+                while True:
+                    near = d <= far / BASE
+                    nodes.append((rest[near], child))
+                    rest = rest[~near]
+                    if not len(rest):
+                        break
+                    child = int(rest[0])
+                    d = distance(rest, child)
+            children.append(len(nodes) - first[-1])
+            at += 1
+        self.center = x[[c for _, c in nodes]]
+        self.norm = np.sqrt((self.center * self.center).sum(1))
+        self.radius, self.first, self.children = np.array(radius), np.array(first), np.array(children)
+        self.lo, self.size, self.order = np.array(lo), np.array(size), np.array(order)
+
+    def below(self, nodes: np.ndarray) -> np.ndarray:
+        return ranges(self.first[nodes], self.children[nodes])
+
+    def points(self, leaves: np.ndarray) -> np.ndarray:
+        return self.order[ranges(self.lo[leaves], self.size[leaves])]
+
+    def under(self, node: int) -> np.ndarray:
+        """All points below a node."""
+        nodes, out = np.array([node]), []
+        while len(nodes):
+            out.append(self.points(nodes[self.children[nodes] == 0]))
+            nodes = self.below(nodes)
+        return np.concatenate(out)
 
 
 class Best:
@@ -52,24 +86,30 @@ class Best:
         self.id = np.full((n, k), np.iinfo(np.int64).max)
 
     def offer(self, rows: np.ndarray, score: np.ndarray, ids: np.ndarray) -> None:
-        some = (score >= self.score[rows, -1:]).any(1)
-        if not some.any():
+        least = self.score[rows, -1]
+        if score.shape[1] > self.k:
+            least = np.maximum(least, np.partition(score, -self.k, axis=1)[:, -self.k])
+        i, j = np.nonzero((score >= least[:, None]) & (score > -np.inf))
+        some = np.unique(i)
+        if not len(some):
             return
-        rows, score = rows[some], score[some]
-        cols = (score >= self.score[rows, -1:]).any(0)
-        s = np.concatenate([self.score[rows], score[:, cols]], axis=1)
-        i = np.concatenate([self.id[rows], np.broadcast_to(ids[cols], (len(rows), int(cols.sum())))], axis=1)
-        i = np.where(np.isneginf(s), np.iinfo(np.int64).max, i)
-        at = np.lexsort((i, -s), axis=-1)[:, : self.k]
-        self.score[rows] = np.take_along_axis(s, at, 1)
-        self.id[rows] = np.take_along_axis(i, at, 1)
+        old = np.repeat(some, self.k)
+        at = np.concatenate([old, i])
+        s = np.concatenate([self.score[rows[some]].ravel(), score[i, j]])
+        d = np.concatenate([self.id[rows[some]].ravel(), ids[j]])
+        order = np.lexsort((d, -s, at))
+        at, s, d = at[order], s[order], d[order]
+        first = np.flatnonzero(np.r_[True, at[1:] != at[:-1]])
+        take = first[:, None] + np.arange(self.k)
+        self.score[rows[some]], self.id[rows[some]] = s[take], d[take]
 
 
 def search(q: np.ndarray, q_ids: np.ndarray, r: np.ndarray, r_ids: np.ndarray, k: int) -> Best:
     """For each query the k best of r by inner product, rows of its own id left out.
 
-    A pair of a query node and a data node is left out if no product of their points can reach the worst k-th score of
-    the query node's points: <c, c'> + R' |c| + R |c'| + R R' with centres c, c' and covering radii R, R'.
+    A data node is left out for a query node if no product of their points can reach the worst k-th score of the query
+    node's points: <c, c'> + R' |c| + R |c'| + R R' with centres c, c' and covering radii R, R'. What a query node leaves
+    out, its children need not look at.
     """
     best = Best(len(q), k)
     if not len(q) or not len(r):
@@ -81,49 +121,45 @@ def search(q: np.ndarray, q_ids: np.ndarray, r: np.ndarray, r_ids: np.ndarray, k
     start = np.maximum.accumulate(np.where(new, np.arange(len(r)), 0))
     keep = np.arange(len(r)) - start <= k
     r, r_ids = r[keep], r_ids[keep]
-    queries, data = build(q, np.arange(len(q)), 0), build(r, np.arange(len(r)), 0)
-
-    def score(rows: np.ndarray, nodes: list[Node]) -> None:
-        points = np.concatenate([n.points for n in nodes])
-        s = q[rows] @ r[points].T
-        s[q_ids[rows][:, None] == r_ids[points][None, :]] = -np.inf
-        best.offer(rows, s, r_ids[points])
 
-    def bounds(a: Node, nodes: list[Node]) -> np.ndarray:
-        c = np.array([n.center for n in nodes])
-        radius, norm = np.array([n.radius for n in nodes]), np.array([n.norm for n in nodes])
-        return c @ a.center + radius * a.norm + a.radius * norm + a.radius * radius
+    queries, data = Tree(q, QUERY_LEAF), Tree(r)
+
+    def bounds(a: int, nodes: np.ndarray) -> np.ndarray:
+        far, norm = queries.radius[a], queries.norm[a]
+        return data.center[nodes] @ queries.center[a] + data.radius[nodes] * (norm + far) + far * data.norm[nodes]
+
+    def sweep(a: int, rows: np.ndarray, nodes: np.ndarray) -> None:
+        """A leaf of the query tree: the data leaves by falling bounds, until none can reach the worst k-th score."""
+        worst, found = best.score[rows, -1].min(), []
+        while len(nodes):
+            nodes = nodes[bounds(a, nodes) >= worst]
+            found.append(nodes[data.children[nodes] == 0])
+            nodes = data.below(nodes)
+        leaves = np.concatenate(found) if found else nodes
+        up = bounds(a, leaves)
+        order = np.argsort(-up, kind="stable")
+        leaves, up = leaves[order], up[order]
+        part = np.cumsum(data.size[leaves]) // CHUNK
+        for chunk in np.split(np.arange(len(leaves)), np.flatnonzero(np.diff(part)) + 1):
+            chunk = chunk[up[chunk] >= best.score[rows, -1].min()]
+            if not len(chunk):
+                break
+            points = data.points(leaves[chunk])
+            s = q[rows] @ r[points].T
+            s[q_ids[rows][:, None] == r_ids[points][None, :]] = -np.inf
+            best.offer(rows, s, r_ids[points])
 
-    stack = [(queries, data, np.inf)]
+    stack = [(0, np.array([0]))]
     while stack:
-        a, b, bound = stack.pop()
-        if bound < best.score[a.points, -1].min():
-            continue
-        if not b.children and not a.children:
-            score(a.points, [b])
+        a, nodes = stack.pop()
+        rows = queries.under(a)
+        nodes = nodes[bounds(a, nodes) >= best.score[rows, -1].min()]
+        if not len(nodes):
             continue
-        if a.children and (a.radius >= b.radius or not b.children):
-            up = bounds(b, a.children)  # the bound is symmetric
-            stack += [(n, b, float(u)) for u, n in sorted(zip(up, a.children, strict=True), key=lambda p: p[0])]
+        if not queries.children[a]:
+            sweep(a, rows, nodes)
             continue
-        up = bounds(a, b.children)
-        at = np.argsort(-up, kind="stable")
-        batch, size, inner = [], 0, []
-        for i in at:
-            n = b.children[i]
-            if n.children or a.children:
-                inner.append((a, n, float(up[i])))
-                continue
-            if not batch and up[i] < best.score[a.points, -1].min():
-                break
-            batch.append(n)
-            size += len(n.points)
-            if size >= CHUNK:
-                score(a.points, batch)
-                batch, size = [], 0
-        if batch:
-            score(a.points, batch)
-        if a.children:
-            inner = [p for p in inner if p[2] >= best.score[a.points, -1].min()]
-        stack += inner[::-1]
+        wide = (data.radius[nodes] > queries.radius[a]) & (data.children[nodes] > 0)
+        finer = np.concatenate([nodes[~wide], data.below(nodes[wide])])
+        stack += [(int(child), finer) for child in queries.below(np.array([a]))]
     return best
