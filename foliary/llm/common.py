@@ -37,11 +37,11 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
-def staged(df: DataFrame) -> DataFrame:
+def staged(df: DataFrame, compression: str = "zstd") -> DataFrame:
     """As cut(), as a compressed table: for rows too wide to be kept as plain checkpoint files."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/staged-{uuid.uuid4().hex}"
-    df.write.option("compression", "zstd").parquet(path)
+    df.write.option("compression", compression).option("parquet.compression.codec.zstd.level", "1").parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 

@@ -24,6 +24,8 @@ from foliary.llm.ordered import range_of, split_points
 END = 0
 #: A block takes whole documents until it has this many ids; a longer document has a block of its own.
 BLOCK_IDS = 1 << 18
+#: Documents of a range of doc_id, which is one task of the writer.
+ROWS = 4096
 #: Words of one generation of a worker's cache. When it is full, what the last generation has used is kept.
 CACHE = 400_000
 #: ASCII characters that are no letter, digit or white space; a run of them after a letter or digit is cut off by the vocabulary's pattern.
@@ -179,7 +181,7 @@ def write_ids(docs: DataFrame, path: str | None = None, id_col: str = "doc_id",
     the order of their ids. An empty table gives a file without blocks. Other columns are not read.
     """
     ids = docs.select(F.col(id_col).cast("long").alias("doc_id"))
-    points = split_points(ids)
+    points = split_points(ids, ROWS)
     tokens = staged(tokenize(docs, id_col, text_col, path or default_path(), points))
     length = huffman.lengths(id_counts(tokens))
     per = tokens.where("bucket IS NOT NULL").groupBy("bucket").agg(F.sum("n").alias("n")).collect()
@@ -191,6 +193,7 @@ def write_ids(docs: DataFrame, path: str | None = None, id_col: str = "doc_id",
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         firsts, packed = known.value
+        _encoders.clear()  # this worker may hold words of the first stage
         bucket, at, have, doc_ids, sizes, held = None, 0, 0, [], [], []
 
         def block() -> pd.DataFrame:
@@ -213,26 +216,28 @@ def write_ids(docs: DataFrame, path: str | None = None, id_col: str = "doc_id",
 
     rows = tokens.where("bucket IS NOT NULL").repartitionById(max(1, len(points) + 1), F.col("bucket")).sortWithinPartitions("bucket", "doc_id", "ids")
     blocks = rows.mapInPandas(run, "first long, doc_ids array<long>, sizes array<long>, block binary")
-    return staged(blocks), length
+    return staged(blocks, "none"), length
 
 
-def read_ids(blocks: DataFrame, length: np.ndarray) -> DataFrame:
-    """(doc_id, start, n_tokens, ids_crc32, ids) of every document of the file."""
+def read_ids(blocks: DataFrame, length: np.ndarray, with_ids: bool = True) -> DataFrame:
+    """(doc_id, start, n_tokens, ids_crc32) of every document of the file, and its ids as an array unless left out."""
     known = blocks.sparkSession.sparkContext.broadcast(huffman.table(length))
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         symbol, size = known.value
+        _encoders.clear()
         for b in batches:
             for doc_ids, sizes, block in zip(b["doc_ids"], b["sizes"], b["block"], strict=True):
                 at, ids = huffman.decode(block, symbol, size)
-                sizes = np.asarray(sizes, np.int64)
+                ids, sizes = ids.astype("<u4"), np.asarray(sizes, np.int64)
                 ends = np.cumsum(sizes)
-                parts = [ids[e - n : e].astype("<u4").tobytes() for e, n in zip(ends, sizes, strict=True)]
-                yield pd.DataFrame({"doc_id": pd.array([None if pd.isna(d) else int(d) for d in doc_ids], "Int64"), "start": at + ends - sizes, "n_tokens": sizes, "ids_crc32": [zlib.crc32(x) for x in parts], "ids": parts})
+                parts = [ids[e - n : e] for e, n in zip(ends.tolist(), sizes.tolist(), strict=True)]
+                made = {"doc_id": pd.array(doc_ids, "Int64"), "start": at + ends - sizes, "n_tokens": sizes, "ids_crc32": [zlib.crc32(x) for x in parts]}
+                yield pd.DataFrame(made | ({"ids": [x.astype("i4") for x in parts]} if with_ids else {}))
 
-    return blocks.mapInPandas(run, "doc_id long, start long, n_tokens long, ids_crc32 long, ids binary")
+    return blocks.mapInPandas(run, "doc_id long, start long, n_tokens long, ids_crc32 long" + ", ids array<int>" * with_ids)
 
 
 def op10_huffman_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     blocks, length = write_ids(table(spark, sf_dir, "documents"))
-    return read_ids(blocks, length).drop("ids")
+    return read_ids(blocks, length, with_ids=False)
