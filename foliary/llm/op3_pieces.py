@@ -6,27 +6,28 @@ dropout, each candidate is skipped if a keyed hash of seed, variant, chunk, plac
 skipped candidate may come up again with other neighbours. What the vocabulary lacks becomes byte pieces, as does the
 word mark itself where a text has it, so decoding gives back every text exactly.
 
-No piece goes on after its first word mark run, so the text falls into chunks (a run of word marks and what follows)
-that are segmented on their own. A document belongs to one of VARIANTS variants, by a keyed hash of its id; within a
-variant equal chunks are segmented alike, so a worker segments each once.
+No piece goes on after its first word mark run, nor over a line feed, so the text falls into chunks (a run of word
+marks and what follows) that are segmented on their own. Each line of a document draws one of VARIANTS variants, by a
+keyed hash of the document's id and the line's number; within a variant equal chunks are segmented alike, so a worker
+segments each once.
 """
 
 from __future__ import annotations
 
 import heapq
+import re
 import zlib
 from array import array
 
 import numpy as np
-import regex
 import xxhash
 from pyspark.sql import DataFrame, SparkSession
 
 from foliary.llm.common import small_batches, table, with_made
 
-SEED, RATE, VARIANTS = 11, 0.1, 4
+SEED, RATE, VARIANTS = 11, 0.1, 2
 #: Chunks of one generation that a worker keeps. When it is full, what the last generation has used is kept.
-CACHE = 75_000
+CACHE = 200_000
 MARK = "▁"
 #: ASCII characters that are no letter, digit or white space.
 MARKS = "!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~"
@@ -60,10 +61,8 @@ class Vocabulary:
             raise ValueError("a piece of this model goes on after a word mark or a line feed")
         self.width = "H" if sp.get_piece_size() <= 1 << 16 else "I"
 
-    def spell(self, piece: str) -> list[int]:
-        """A piece's id, or those of its bytes."""
-        i = self.ids.get(piece)
-        return [i] if i is not None else [self.byte[b] for b in piece.encode("utf-8", "surrogatepass")]
+    def spell_bytes(self, text: str) -> list[int]:
+        return [self.byte[b] for b in text.encode("utf-8", "surrogatepass")]
 
 
 class _Chunks(dict):
@@ -93,12 +92,12 @@ class _Chunks(dict):
 class Segmenter:
     """Texts to packed ids; variant -1 has no dropout."""
 
-    _chunks = regex.compile(rf"{MARK}+[^{MARK}\n]*|[^{MARK}\n]+|\n").findall
+    _chunks = re.compile(f"{MARK}+[^{MARK}]*|[^{MARK}]+").findall
 
     def __init__(self, path: str, seed: int, rate: float, variants: int):
         self.v, self.seed, self.rate, self.variants = Vocabulary(path), seed, int(rate * 2.0**32), variants
         self.kept = {v: _Chunks(self, v) for v in range(-1, variants)}
-        self.mark = array(self.v.width, [self.v.byte[b] for b in MARK.encode()]).tobytes()
+        self.mark, self.feed = (array(self.v.width, self.v.spell_bytes(x)).tobytes() for x in (MARK, "\n"))
 
     def segment(self, chunk: str, variant: int) -> list[int]:
         """Agenda processing: the best-scored candidate first, of equal ones the leftmost.
@@ -142,24 +141,36 @@ class Segmenter:
             if p:
                 i = self.v.ids.get(p)
                 if i is None:
-                    out += self.v.spell(p)
+                    out += self.v.spell_bytes(p)
                 else:
                     out.append(i)
         return out
 
-    def variant_of(self, doc_id) -> int:
-        return xxhash.xxh64_intdigest(f"{self.seed}|{doc_id}") % self.variants
+    def draws(self, doc_id, n: int) -> list[int]:
+        """The variants of n lines of a document."""
+        out: list[int] = []
+        for i in range(0, n, 16):
+            h = xxhash.xxh64_intdigest(f"{self.seed}|{doc_id}|{i}")
+            out += [(h >> 4 * k & 15) % self.variants for k in range(min(16, n - i))]
+        return out
 
-    def encode(self, text: str, variant: int = -1) -> bytes:
+    def encode(self, text: str, doc_id=None, dropout: bool = True) -> bytes:
         """Packed ids of a whole text. A word mark in the text itself stands as its bytes."""
         if not text:
             return b""
-        kept = self.kept[variant]
-        kept.age()
-        if MARK not in text:
-            return b"".join(map(kept.__getitem__, self._chunks(MARK + text.replace(" ", MARK))))
-        parts = [p.replace(" ", MARK) for p in (" " + text).split(MARK)]
-        return self.mark.join([b"".join(map(kept.__getitem__, self._chunks(p))) for p in parts])
+        lines = text.split("\n")
+        variants = self.draws(doc_id, len(lines)) if dropout else [-1] * len(lines)
+        for k in self.kept.values():
+            k.age()
+        if MARK in text:
+            out = [self.mark.join([self._line(p.replace(" ", MARK), v) for p in x.split(MARK)]) for x, v in zip([" " + lines[0], *lines[1:]], variants, strict=True)]
+        else:
+            lines[0] = " " + lines[0]
+            out = [self._line(x.replace(" ", MARK), v) for x, v in zip(lines, variants, strict=True)]
+        return self.feed.join(out)
+
+    def _line(self, marked: str, variant: int) -> bytes:
+        return b"".join(map(self.kept[variant].__getitem__, self._chunks(marked)))
 
     def decode(self, ids: bytes) -> str:
         """The text of packed ids: the pieces' texts joined, without the space that encoding puts before a text."""
@@ -184,11 +195,11 @@ def default_path() -> str:
 
 
 def encode(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", path: str | None = None, seed: int = SEED, rate: float = RATE, variants: int = VARIANTS) -> DataFrame:
-    """docs with variant, n_pieces, pieces (the ids) and decoded (the text that they decode to), which replace columns of
+    """docs with n_pieces, pieces (the ids) and decoded (the text that they decode to), which replace columns of
     the same names.
 
-    Null and empty texts have no pieces and decode to the empty text. Rows of one doc_id have one variant, and null ids
-    have one, too; equal texts of one variant have equal pieces. Every row of docs gives one row.
+    Null and empty texts have no pieces and decode to the empty text. Rows of one doc_id draw alike, and null ids do,
+    too, so equal rows have equal pieces. Every row of docs gives one row.
     """
     small_batches(docs.sparkSession, 500)
     path = path or default_path()
@@ -197,18 +208,17 @@ def encode(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", path
         s = segmenter(path, seed, rate, variants)
 
         def make(ids: list, texts: list[str | None]) -> list[list]:
-            variant = [s.variant_of(d) for d in ids]
-            packed = [s.encode(t or "", v) for t, v in zip(texts, variant, strict=True)]
+            packed = [s.encode(t or "", d) for d, t in zip(ids, texts, strict=True)]
             arrays = [np.frombuffer(x, s.v.width).astype("i4") for x in packed]
-            return [variant, list(map(len, arrays)), arrays, list(map(s.decode, packed))]
+            return [list(map(len, arrays)), arrays, list(map(s.decode, packed))]
 
         return make
 
-    return with_made(docs, [id_col, text_col], "variant int, n_pieces long, pieces array<int>, decoded string", maker)
+    return with_made(docs, [id_col, text_col], "n_pieces long, pieces array<int>, decoded string", maker)
 
 
 def digests(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", path: str | None = None, seed: int = SEED, rate: float = RATE, variants: int = VARIANTS) -> DataFrame:
-    """As encode(), with digests in place of ids and texts: docs with variant, n_pieces, ids_crc32 (of the ids as little-
+    """As encode(), with digests in place of ids and texts: docs with n_pieces, ids_crc32 (of the ids as little-
     endian uint32) and lossless (whether the ids decode to the text, null being empty)."""
     small_batches(docs.sparkSession, 500)
     path = path or default_path()
@@ -217,18 +227,17 @@ def digests(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", pat
         s = segmenter(path, seed, rate, variants)
 
         def make(ids: list, texts: list[str | None]) -> list[list]:
-            variant = [s.variant_of(d) for d in ids]
-            packed = [s.encode(t or "", v) for t, v in zip(texts, variant, strict=True)]
+            packed = [s.encode(t or "", d) for d, t in zip(ids, texts, strict=True)]
             crc = [zlib.crc32(np.frombuffer(x, s.v.width).astype("<u4").tobytes()) for x in packed]
             same = [s.decode(x) == (t or "") for x, t in zip(packed, texts, strict=True)]
             width = array(s.v.width).itemsize
-            return [variant, [len(x) // width for x in packed], crc, same]
+            return [[len(x) // width for x in packed], crc, same]
 
         return make
 
-    return with_made(docs, [id_col, text_col], "variant int, n_pieces long, ids_crc32 long, lossless boolean", maker)
+    return with_made(docs, [id_col, text_col], "n_pieces long, ids_crc32 long, lossless boolean", maker)
 
 
 def op3_merge_dropout(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """(doc_id, variant, n_pieces, ids_crc32, lossless) of every document."""
+    """(doc_id, n_pieces, ids_crc32, lossless) of every document."""
     return digests(table(spark, sf_dir, "documents").select("doc_id", "text")).drop("text")
