@@ -91,4 +91,4 @@ def with_made(docs: DataFrame, read: list[str], made: str, maker: Callable[[], C
             yield pa.RecordBatch.from_arrays([*b.columns[:n], *new], names=[*b.schema.names[:n], *names])
 
     schema = T.StructType([*[docs.schema[c] for c in kept], *fields])
-    return docs.select(*kept, *extra).mapInArrow(run, schema)
+    return docs.select(*[F.col(f"`{c}`") for c in kept], *extra).mapInArrow(run, schema)
