@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from foliary.llm.common import small_batches, table
-from foliary.llm.ordered import range_of, split_points
+from foliary.llm.ordered import constant, range_of, split_points
 
 SAMPLES = 64
 WORDS = 5
@@ -158,10 +158,9 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     used = [b for b, _, _ in firsts]
     rows = rows.withColumn("b", range_of(points, F.col("doc_id")))
     pairs = {b: (None if nulls else first, used[i - 1]) for i, (b, nulls, first) in enumerate(firsts)}
-    first_of = F.array(*[F.lit(pairs.get(b, (None, None))[0]).cast("long") for b in range(len(points) + 1)])
-    to = F.array(*[F.lit(pairs.get(b, (None, None))[1]).cast("int") for b in range(len(points) + 1)])
+    first_of, to = (constant([pairs.get(b, (None, None))[i] for b in range(len(points) + 1)], "bigint") for i in (0, 1))
     is_first = F.col("doc_id").eqNullSafe(F.get(first_of, F.col("b")))
-    homes = F.when(is_first, F.array(F.struct(F.col("b").alias("r"), F.lit(False).alias("donor")), F.struct(F.get(to, F.col("b")).alias("r"), F.lit(True).alias("donor")))).otherwise(
+    homes = F.when(is_first, F.array(F.struct(F.col("b").alias("r"), F.lit(False).alias("donor")), F.struct(F.get(to, F.col("b")).cast("int").alias("r"), F.lit(True).alias("donor")))).otherwise(
         F.array(F.struct(F.col("b").alias("r"), F.lit(False).alias("donor")))
     )
     dealt = rows.select("doc_id", "text", F.explode(homes).alias("h")).select("doc_id", "text", "h.r", "h.donor")

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import json
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -19,9 +21,16 @@ def split_points(ids: DataFrame, rows: int = ROWS, most: int = MOST) -> list[int
     return sorted({x for x in ids.agg(at.alias("p")).first().p or [] if x is not None})
 
 
+def constant(values: list, kind: str) -> Column:
+    """An array as one literal of the plan, however long."""
+    return F.from_json(F.lit(json.dumps(values)), f"array<{kind}>")
+
+
 def range_of(points: list[int], doc_id: Column) -> Column:
-    """0 for null and what lies below the first point, else the number of points at or below doc_id."""
+    """0 for null and what lies below the first point, else the number of points at or below doc_id, by binary search."""
     if not points:
         return F.lit(0)
-    inside = F.size(F.filter(F.array(*[F.lit(p).cast("long") for p in points]), lambda p: p <= doc_id))
-    return F.when(doc_id.isNull(), F.lit(0)).otherwise(inside).cast("int")
+    known = constant(points, "bigint")
+    steps = F.array(*[F.lit(1 << k) for k in reversed(range(len(points).bit_length()))])
+    at = F.aggregate(steps, F.lit(0), lambda acc, step: F.when(F.get(known, acc + step - 1) <= doc_id, acc + step).otherwise(acc))
+    return F.when(doc_id.isNull(), F.lit(0)).otherwise(at).cast("int")
