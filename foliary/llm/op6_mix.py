@@ -26,7 +26,9 @@ SHARDS = 8
 SEED = 7
 REPEATS = 3
 WEIGHTS = (1, 2, 3)
-BUCKET = 4096
+BUCKET = 1024
+#: The plan of so many sources is broadcast; a longer one is joined by a shuffle.
+BROADCAST_SOURCES = 10_000
 
 
 def words(text: Column) -> Column:
@@ -107,7 +109,8 @@ def streams(docs: DataFrame, id_col: str, text_col: str, source_col: str, seed:
     at = keyed.withColumn("o", F.coalesce(F.sum(F.col("size") * F.col("n")).over(within), F.lit(0)))
     at = at.join(offsets, F.col("source").eqNullSafe(F.col("s")) & (F.col("sub") == F.col("t")))
     each = at.withColumn("copy", F.explode(F.sequence(F.lit(0).cast("long"), F.col("n") - 1))).withColumn("o", F.col("offset") + F.col("o") + F.col("copy") * F.col("size"))
-    return each.join(F.broadcast(planned), F.col("source").eqNullSafe(F.col("of"))).drop("of", "s", "t", "sub", "h", "n", "copy", "offset")
+    side = F.broadcast(planned) if len(sizes) <= BROADCAST_SOURCES else planned.hint("merge")
+    return each.join(side, F.col("source").eqNullSafe(F.col("of"))).drop("of", "s", "t", "sub", "h", "n", "copy", "offset")
 
 
 def _blocks(block: int) -> Column:
@@ -166,3 +169,26 @@ def mixed_rows(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
 def op6_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix(table(spark, sf_dir, "documents")).drop("source")
+
+
+ORACLE = f"""
+WITH d AS (SELECT doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+')) AS size FROM documents),
+t AS (SELECT sum(size)::BIGINT AS total FROM d),
+s AS (SELECT source, sum(size)::BIGINT AS size, row_number() OVER (ORDER BY source NULLS LAST) - 1 AS i FROM d GROUP BY source),
+w AS (SELECT *, [{", ".join(map(str, WEIGHTS))}][i % {len(WEIGHTS)} + 1] AS w, {REPEATS} * size AS cap FROM s),
+o AS (SELECT *, row_number() OVER p AS r, CAST(sum(cap) OVER p - cap AS BIGINT) AS c0, CAST(sum(w) OVER p - w AS BIGINT) AS w0 FROM w WINDOW p AS (ORDER BY cap::DOUBLE / w, i ROWS UNBOUNDED PRECEDING)),
+k AS (SELECT o.*, total - c0 AS rest, CAST((SELECT sum(w) FROM w) - w0 AS BIGINT) AS open FROM o, t),
+f AS (SELECT arg_min(r, r) AS r, arg_min(rest, r) AS rest, arg_min(open, r) AS open FROM k WHERE NOT cap * open < rest * w),
+g AS (SELECT k.source, k.size, k.i, CASE WHEN f.r IS NULL OR k.r < f.r THEN cap::DOUBLE ELSE (f.rest * w)::DOUBLE / f.open::DOUBLE END AS target, (k.size + {BLOCK - 1}) // {BLOCK} AS blocks FROM k, f),
+q AS (SELECT i, unnest(range(0, {REPEATS} * blocks)) AS n, target FROM g),
+z AS (SELECT i, row_number() OVER (ORDER BY target / (2 * n + 1) DESC, i, n) AS place FROM q WHERE target > 0),
+y AS (SELECT i, count(*) AS quota FROM z, t WHERE place <= (total + {BLOCK // 2}) // {BLOCK} GROUP BY i),
+x AS (SELECT g.*, greatest(1, blocks) AS n, coalesce(quota, 0) AS quota, ({SEED} * 7919 + 104729 * (g.i + 1)) % least(greatest(1, blocks), 8388608) + 1 AS a0, ({SEED} * 15485863 + 32452843 * g.i) % greatest(1, blocks) AS b FROM g LEFT JOIN y ON g.i = y.i),
+v AS (SELECT *, list_filter(range(a0, a0 + 1000), lambda a: gcd(a, n) = 1)[1] AS a FROM x),
+h AS (SELECT *, ('0x' || substr(md5('{SEED}:' || coalesce(CAST(doc_id AS VARCHAR), 'none')), 1, 15))::BIGINT AS h FROM d),
+b AS (SELECT *, h % (SELECT greatest(1, (count(*) + {BUCKET - 1}) // {BUCKET}) FROM (SELECT DISTINCT doc_id, source, size FROM d)) AS sub FROM h),
+e AS (SELECT b.*, CAST(sum(b.size) OVER (PARTITION BY source ORDER BY sub, h, doc_id, b.size ROWS UNBOUNDED PRECEDING) - b.size AS BIGINT) AS o FROM b)
+SELECT e.doc_id, e.size, v.size AS source_size, v.target, CAST(coalesce(list_sum(list_transform(range(o // {BLOCK}, CASE WHEN e.size > 0 THEN (o + e.size - 1) // {BLOCK} + 1 ELSE o // {BLOCK} END),
+  lambda j: (least(o + e.size, (j + 1) * {BLOCK}) - greatest(o, j * {BLOCK})) * CASE WHEN quota > (a * j + v.b) % n THEN (quota - (a * j + v.b) % n + n - 1) // n ELSE 0 END)), 0) AS BIGINT) AS taken
+FROM e JOIN v ON e.source IS NOT DISTINCT FROM v.source
+"""

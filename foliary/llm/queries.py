@@ -12,6 +12,7 @@ from foliary.llm.op2_language import op2_language
 from foliary.llm.op3_pieces import op3_merge_dropout
 from foliary.llm.op4_simhash import op4_simhash
 from foliary.llm.op5_sampling import op5_sampling
+from foliary.llm.op6_mix import ORACLE as OP6
 from foliary.llm.op6_mix import op6_mix
 from foliary.llm.op7_licenses import ORACLE as OP7
 from foliary.llm.op7_licenses import op7_license_scan
@@ -33,6 +34,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 }
 
 ORACLES: dict[str, str] = {
+    "op6_mix": OP6,
     "op7_license_scan": OP7,
     "op8_topk": OP8,
 }
