@@ -23,11 +23,11 @@ from foliary.llm.ordered import range_of, split_points
 
 END = 0
 #: A block takes whole documents until it has this many ids; a longer document has a block of its own.
-BLOCK_IDS = 1 << 18
+BLOCK_IDS = 1 << 19
 #: Documents of a range of doc_id, which is one task of the writer.
 ROWS = 4096
 #: Words of one generation of a worker's cache. When it is full, what the last generation has used is kept.
-CACHE = 400_000
+CACHE = 800_000
 #: ASCII characters that are no letter, digit or white space; a run of them after a letter or digit is cut off by the vocabulary's pattern.
 MARKS = "!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~"
 
@@ -139,8 +139,8 @@ def default_path() -> str:
 
 
 def tokenize(docs: DataFrame, id_col: str, text_col: str, path: str, points: list[int]) -> DataFrame:
-    """(bucket, doc_id, n, ids): each document's packed ids, and per task one row with a null bucket: the n ids that the
-    task has met, as uint32, and how often, as int64."""
+    """(bucket, doc_id, n, ids, counts): each document's packed ids, and per task one row with only counts: the n ids that
+    the task has met, as uint32, and how often, as int64."""
     small_batches(docs.sparkSession)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -151,12 +151,12 @@ def tokenize(docs: DataFrame, id_col: str, text_col: str, path: str, points: lis
             c = np.bincount(np.frombuffer(b"".join(found), kind), minlength=len(counts))
             c[: len(counts)] += counts
             counts = c
-            yield pd.DataFrame({"bucket": b["bucket"], "doc_id": b["doc_id"].astype("Int64"), "n": [len(x) // encode.width for x in found], "ids": found})
+            yield pd.DataFrame({"bucket": b["bucket"], "doc_id": b["doc_id"].astype("Int64"), "n": [len(x) // encode.width for x in found], "ids": found, "counts": None})
         at = np.flatnonzero(counts).astype("<u4")
-        yield pd.DataFrame({"bucket": [None], "doc_id": pd.array([None], "Int64"), "n": [len(at)], "ids": [at.tobytes() + counts[at].astype("<i8").tobytes()]})
+        yield pd.DataFrame({"bucket": [None], "doc_id": pd.array([None], "Int64"), "n": [len(at)], "ids": [None], "counts": [at.tobytes() + counts[at].astype("<i8").tobytes()]})
 
     rows = docs.select(range_of(points, F.col(id_col).cast("long")).alias("bucket"), F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    return rows.mapInPandas(run, "bucket int, doc_id long, n long, ids binary")
+    return rows.mapInPandas(run, "bucket int, doc_id long, n long, ids binary, counts binary")
 
 
 def id_counts(tokens: DataFrame) -> np.ndarray:
@@ -164,10 +164,10 @@ def id_counts(tokens: DataFrame) -> np.ndarray:
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
-            for n, x in zip(b["n"], b["ids"], strict=True):
+            for n, x in zip(b["n"], b["counts"], strict=True):
                 yield pd.DataFrame({"id": np.frombuffer(x, "<u4", n).astype("i8"), "n": np.frombuffer(x, "<i8", n, 4 * n)})
 
-    rows = tokens.where("bucket IS NULL").select("n", "ids").mapInPandas(run, "id long, n long").groupBy("id").agg(F.sum("n").alias("n")).collect()
+    rows = tokens.where("counts IS NOT NULL").select("n", "counts").mapInPandas(run, "id long, n long").groupBy("id").agg(F.sum("n").alias("n")).collect()
     out = np.zeros(max([END, *(r.id for r in rows)]) + 1, np.int64)
     for r in rows:
         out[r.id] = r.n
@@ -184,7 +184,7 @@ def write_ids(docs: DataFrame, path: str | None = None, id_col: str = "doc_id",
     points = split_points(ids, ROWS)
     tokens = staged(tokenize(docs, id_col, text_col, path or default_path(), points))
     length = huffman.lengths(id_counts(tokens))
-    per = tokens.where("bucket IS NOT NULL").groupBy("bucket").agg(F.sum("n").alias("n")).collect()
+    per = tokens.where("counts IS NULL").groupBy("bucket").agg(F.sum("n").alias("n")).collect()
     firsts, at = {}, 0
     for r in sorted(per):
         firsts[r.bucket], at = at, at + r.n
@@ -214,7 +214,7 @@ def write_ids(docs: DataFrame, path: str | None = None, id_col: str = "doc_id",
         if held:
             yield block()
 
-    rows = tokens.where("bucket IS NOT NULL").repartitionById(max(1, len(points) + 1), F.col("bucket")).sortWithinPartitions("bucket", "doc_id", "ids")
+    rows = tokens.where("counts IS NULL").drop("counts").repartitionById(max(1, len(points) + 1), F.col("bucket")).sortWithinPartitions("bucket", "doc_id", "ids")
     blocks = rows.mapInPandas(run, "first long, doc_ids array<long>, sizes array<long>, block binary")
     return staged(blocks, "none"), length
 
