@@ -86,6 +86,3 @@ def pages_of(articles: DataFrame, pages: DataFrame, document: str = "document_id
     listed = articles.where(F.size("page_numbers") > 0).select(document, F.explode("page_numbers").alias("page_number"))
     ranged = articles.where(F.size("page_numbers") == 0).select(document, F.explode(F.sequence("start_page", "end_page")).alias("page_number"))
     return pages.join(listed.unionByName(ranged).distinct(), [document, "page_number"], "left_semi")
-
-
-__all__ = ["bodies", "heads", "in_order", "latex_articles", "pages_of", "source_blocks", "text_body"]

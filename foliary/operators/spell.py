@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType
 
 from foliary.config import DEFAULT, EngineConfig
-from foliary.functions.text import GUARD, LETTERS, join_hyphenated, normalize_punctuation, normalize_whitespace, protect, protected_spans, rebuild, restore, strip_mathml, tokens
+from foliary.functions.text import LETTERS, join_hyphenated, normalize_punctuation, normalize_whitespace, protect, protected_spans, rebuild, restore, strip_mathml, tokens
 
 # The default lexicon, by falling frequency.
 LEXICON = {
@@ -19,8 +19,6 @@ LEXICON = {
     "соответствующие": 2300, "можно": 2200, "показать": 2100, "говорит": 2000, "теоремы": 1900, "первого": 1800, "абзац": 1700, "пример": 1600,
     "введение": 1500, "статья": 1400, "работа": 1300, "особенность": 1200, "особенностей": 1100, "переменные": 1000, "соответствует": 950,
 }
-#: What is broadcast of a lexicon: at most so many words; a larger one is joined by its length instead.
-BROADCAST_WORDS = 100_000
 
 
 @F.pandas_udf(DoubleType())
@@ -101,6 +99,3 @@ def postprocess(texts: DataFrame, key: str, text_col: str, lexicon: DataFrame, c
     out = full.groupBy(key).agg(F.array_sort(F.collect_list(F.when(F.col("token_index").isNotNull(), row))).alias("r"), F.array_sort(F.collect_list(fix)).alias("corrections"), F.array_sort(F.collect_list(doubt)).alias("suspicious"))
     spans = base.select(key, "spans")
     return out.join(spans, key).select(key, normalize_whitespace(restore(rebuild(F.col("r")), F.col("spans"))).alias("cleaned_text"), "corrections", "suspicious", (F.size("suspicious") > 0).alias("needs_review"))
-
-
-__all__ = ["GUARD", "LEXICON", "candidates", "mixed", "postprocess", "prepared", "similarity", "suggestions"]

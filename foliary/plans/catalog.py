@@ -11,7 +11,7 @@ from foliary import backends
 from foliary.functions import geometry as g
 from foliary.functions import latex as lx
 from foliary.functions import text as t
-from foliary.operators import articles, export, layout, metadata, metrics, pages, routing, segment, spell
+from foliary.operators import articles, export, layout, metadata, metrics, pages, process, routing, segment, spell
 from foliary.plans import sqltext as s
 from foliary.plans.fixtures import fixture, values
 from foliary.schemas import box
@@ -190,7 +190,12 @@ def bbox_geometry(spark, d):
     return j.select("a", "b", g.area(p).alias("area"), g.intersection(p, q).alias("common"), g.horizontal_overlap(p, q).alias("overlap"), g.vertical_gap(p, q).alias("gap"), g.center_inside(p, q).alias("inside"))
 
 
-@query()
+@query(
+    f"""WITH {values('polygons')} SELECT id, CAST(CASE WHEN len(points) = 1 THEN round_even(points[1][1], 0) WHEN len(points) > 1 THEN round_even(list_min(list_transform(points, lambda p: p[1])), 0) ELSE 0 END AS INTEGER) AS x1,
+    CAST(CASE WHEN len(points) = 1 THEN round_even(points[1][2], 0) WHEN len(points) > 1 THEN round_even(list_min(list_transform(points, lambda p: p[2])), 0) ELSE 0 END AS INTEGER) AS y1,
+    CAST(CASE WHEN len(points) = 1 THEN round_even(points[1][3], 0) WHEN len(points) > 1 THEN round_even(list_max(list_transform(points, lambda p: p[1])), 0) ELSE 0 END AS INTEGER) AS x2,
+    CAST(CASE WHEN len(points) = 1 THEN round_even(points[1][4], 0) WHEN len(points) > 1 THEN round_even(list_max(list_transform(points, lambda p: p[2])), 0) ELSE 0 END AS INTEGER) AS y2 FROM fx"""
+)
 def bbox_from_points(spark, d):
     return fixture(spark, "polygons").select("id", g.from_points(F.col("points")).alias("b")).select("id", "b.*")
 
@@ -230,11 +235,23 @@ def _layout_blocks(spark, d) -> DataFrame:
     return views.blocks(spark, d).select(*PAGE, "block_id", "type", "bbox", "confidence", "reading_order", F.col("content").alias("text"), F.lit(None).cast("string").alias("latex"))
 
 
-@query()
+MERGE_STEP = """list_reduce(rows, lambda acc, x: CASE WHEN acc[-1].type = x[1].type AND x[1].type IN ('text', 'title', 'header', 'footer')
+    AND greatest(0, least(acc[-1].x2, x[1].x2) - greatest(acc[-1].x1, x[1].x1)) / greatest(1, least(acc[-1].x2 - acc[-1].x1, x[1].x2 - x[1].x1)) >= 0.55
+    AND (CASE WHEN x[1].y1 >= acc[-1].y2 THEN x[1].y1 - acc[-1].y2 WHEN acc[-1].y1 >= x[1].y2 THEN acc[-1].y1 - x[1].y2 ELSE 0 END) <= 24
+  THEN list_append(acc[:-2], {'type': x[1].type, 'x1': least(acc[-1].x1, x[1].x1), 'y1': least(acc[-1].y1, x[1].y1), 'x2': greatest(acc[-1].x2, x[1].x2), 'y2': greatest(acc[-1].y2, x[1].y2),
+    'confidence': greatest(acc[-1].confidence, x[1].confidence), 'reading_order': least(acc[-1].reading_order, x[1].reading_order), 'text': nullif(concat_ws(chr(10), nullif(acc[-1].text, ''), nullif(x[1].text, '')), '')})
+  ELSE list_concat(acc, x) END)"""
+
+
+@query(
+    f"""WITH {s.BLOCKS}, r AS (SELECT document_id, page_number, list([{{'type': type, 'x1': x1, 'y1': y1, 'x2': x2, 'y2': y2, 'confidence': confidence, 'reading_order': reading_order, 'text': content}}] ORDER BY reading_order, y1, x1, block_id) AS rows FROM b_ GROUP BY document_id, page_number),
+    m AS (SELECT document_id, page_number, {MERGE_STEP} AS k FROM r), e AS (SELECT document_id, page_number, unnest(k) AS b, generate_subscripts(k, 1) - 1 AS place FROM m)
+    SELECT document_id, page_number, place, b.type, b.reading_order, b.confidence, nullif(b.text, '') AS text, b.x1, b.y1, b.x2, b.y2 FROM e"""
+)
 def merge_blocks_fold(spark, d):
-    """A fold over each page; tests hold it against a plain loop."""
+    """A fold over each page: a block joins the last merged one, never only its neighbour."""
     p = layout.merged(_layout_blocks(spark, d), PAGE, 2000)
-    return p.select(*PAGE, F.posexplode("blocks").alias("place", "b")).select(*PAGE, "place", "b.type", "b.reading_order", "b.confidence", "b.text", "b.bbox.x1", "b.bbox.y1", "b.bbox.x2", "b.bbox.y2")
+    return p.select(*PAGE, F.posexplode("blocks").alias("place", "b")).select(*PAGE, "place", "b.type", "b.reading_order", "b.confidence", F.nullif("b.text", F.lit("")).alias("text"), "b.bbox.x1", "b.bbox.y1", "b.bbox.x2", "b.bbox.y2")
 
 
 @query()
@@ -319,7 +336,10 @@ def text_only_mode(spark, d):
     return out.select(*PAGE, "backend", routing.enough_text(F.col("text")).alias("embedded"))
 
 
-@query()
+@query(
+    f"""WITH {s.BLOCKS} SELECT document_id, block_id, CASE WHEN pos % 4 = 0 THEN 's' ELSE nullif(content, '') END AS latex, CAST(NULL AS DOUBLE) AS confidence,
+    CASE WHEN pos % 4 = 0 THEN 'surya' WHEN content <> '' THEN 'pix2tex' ELSE 'none' END AS backend FROM b_ WHERE type = 'formula'"""
+)
 def formula_backends(spark, d):
     f = routing.formula_blocks(views.blocks(spark, d)).select("document_id", "block_id", F.when(F.col("pos") % 4 == 0, "s").alias("seed_latex"), F.lit(None).cast("double").alias("seed_confidence"), F.col("content").cast("binary").alias("image"))
     return backends.formula_chain(f, lambda: backends.EchoOcr(0.5), lambda: backends.EchoOcr(0.9), ["document_id", "block_id"])
@@ -435,7 +455,17 @@ def author_like(spark, d):
     return fixture(spark, "authors").select("id", metadata.author_like(F.col("line")).alias("author_like"), metadata.section_header(F.col("line")).alias("section_header"))
 
 
-@query()
+FIRST_SQL = f"coalesce(list_filter(list_transform(string_split({s.plain('line')}, chr(10)), lambda x: {s.strip('x')}), lambda x: x <> '')[1], '')"
+TRIM_SQL = s.strip("coalesce(line, '')")
+HEAD_INITIALS = rf"(?:^|[^\p{{L}}\p{{N}}_])(?:[{t.CAPITALS}]\.\s*[{t.CAPITALS}]\.|[{t.CAPITALS}]\.\s*(?:[{t.CAPITALS}]\.\s*)?{metadata.SURNAME})"
+HEAD_CHARS, NO_SIGNS, READER_INITIAL = rf"^[{t.LETTERS}.\-\s()]+$", r"[=\\]", rf"(?:^|[\s,;])[{t.CAPITALS}]\."
+
+
+@query(
+    f"""WITH {values('authors')}, f AS (SELECT id, {FIRST_SQL} AS c, {TRIM_SQL} AS r FROM fx)
+    SELECT id, c <> '' AND length(c) <= 120 AND regexp_matches(c, {s.q(HEAD_CHARS)}) AND (regexp_matches(c, {s.q(HEAD_INITIALS)}) OR len(list_filter(regexp_split_to_array(c, '[^{t.LETTERS}-]+'), lambda w: regexp_matches(w, {s.q('^' + metadata.SURNAME + '$')}))) BETWEEN 2 AND 6) AS head,
+    r <> '' AND length(r) <= 160 AND len(list_filter(string_split(r, ' '), lambda w: w <> '')) <= 16 AND NOT regexp_matches(r, {s.q(NO_SIGNS)}) AND regexp_matches(r, {s.q(READER_INITIAL)}) AS reader FROM f"""
+)
 def author_like_variants(spark, d):
     return fixture(spark, "authors").select("id", metadata.author_like_head(F.col("line")).alias("head"), metadata.author_like_reader(F.col("line")).alias("reader"))
 
@@ -491,9 +521,25 @@ def keyword_scores(spark, d):
     return metadata.keyword_scores(docs(spark, d), ["doc_id"], F.lit(""), F.col("text")).drop("first_seen")
 
 
-@query()
+def _tokens_sql(e: str) -> str:
+    stop = ", ".join(map(s.q, metadata.STOP_KEYWORDS))
+    return f"list_filter(list_transform(regexp_extract_all(lower({e}), '[A-Za-zА-Яа-яЁё-]{{3,}}'), lambda x: trim(x, '-')), lambda x: length(x) >= 3 AND NOT list_contains([{stop}], x))"
+
+
+def _grams_sql(t: str, n: int, weight: int, group: int) -> str:
+    words = " || ' ' || ".join(f"{t}[i + {k}]" for k in range(n))
+    return f"SELECT doc_id, unnest(list_transform(range(1, len({t}) - {n} + 2), lambda i: {{'phrase': {words}, 'weight': {weight}, 'seen': i + {group} * 1000000}})) AS p FROM w"
+
+
+@query(
+    f"""WITH w AS (SELECT doc_id, {_tokens_sql('substr(text, 1, 60)')} AS t, {_tokens_sql('substr(text, 1, 1200)')} AS c FROM documents),
+    p AS ({' UNION ALL '.join([_grams_sql('t', 3, 7, 0), _grams_sql('t', 2, 8, 1), _grams_sql('c', 2, 1, 2), _grams_sql('c', 3, 1, 3), _grams_sql('c', 1, 1, 4)])}),
+    a AS (SELECT doc_id, p.phrase AS phrase, sum(p.weight) AS score, min(p.seen) AS seen FROM p GROUP BY doc_id, p.phrase), r AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY score DESC, seen) AS n FROM a),
+    l AS (SELECT doc_id, list([phrase] ORDER BY n) AS top FROM r WHERE n <= 20 GROUP BY doc_id)
+    SELECT doc_id, array_to_string(list_reduce(top, lambda acc, x: CASE WHEN len(acc) >= 5 OR len(list_filter(acc, lambda o: contains(o, x[1]) OR contains(x[1], o))) > 0 THEN acc ELSE list_concat(acc, x) END), '|') AS keywords FROM l"""
+)
 def keyword_topk(spark, d):
-    """Greedy choice over ranked phrases; tests hold it against a plain loop."""
+    """Greedy choice over ranked phrases: none that holds or is held by one taken before."""
     scores = metadata.keyword_scores(docs(spark, d), ["doc_id"], F.substring("text", 1, 60), F.substring("text", 1, 1200))
     return metadata.chosen_keywords(scores, ["doc_id"]).select("doc_id", F.array_join("keywords", "|").alias("keywords"))
 
@@ -627,7 +673,7 @@ def manifest_json(spark, d):
     return m.select("document_id", parsed.alias("m")).select("document_id", "m.article_count", F.array_join("m.articles.folder", "|").alias("folders"))
 
 
-@query()
+@query(f"{CATALOG_SQL} SELECT document_id, 3 * count(*) + 2 AS files, min(document_id || '/articles/' || printf('%03d', article_index) || '_' || article_id || '/article.tex') AS first_path, document_id || '/manifest.json' AS last_path FROM c GROUP BY document_id")
 def archive_files(spark, d):
     f = export.archive_files(_export_articles(spark, d), ["document_id"])
     return f.groupBy("document_id").agg(F.count(F.lit(1)).alias("files"), F.min("path").alias("first_path"), F.max("path").alias("last_path"))
@@ -684,3 +730,29 @@ def progress_events(spark, d):
     line = F.from_json("value", "struct<type:string,page:int,data:struct<has_text:boolean>>")
     e = progress.progress_events(p).select(line.alias("e"))
     return e.groupBy(F.col("e.page").alias("page_number")).agg(F.count(F.lit(1)).alias("lines"), F.count_if("e.data.has_text").alias("with_text"))
+
+
+@query()
+def full_mode(spark, d):
+    """Pages to contents and articles through the stand-in models; tests compare the modes."""
+    p = views.doc_pages(spark, d).select(*PAGE, "text", F.col("text").cast("binary").alias("image"))
+    contents, found = process.process(p, "full", backends.EchoOcr, process.LineLayout)
+    return found.select("document_id", "article_id", F.size("page_numbers").alias("pages"), "boundary_confidence", "decision")
+
+
+@query("SELECT doc_id, 'attachment; filename=\"page ' || doc_id || '.pdf\"; filename*=UTF-8QQpage%20' || doc_id || '.pdf' AS header FROM documents".replace("QQ", "''" * 2))
+def attachment_headers(spark, d):
+    return docs(spark, d).select("doc_id", t.attachment_header(F.concat(F.lit("page "), F.col("doc_id").cast("string"), F.lit(".pdf"))).alias("header"))
+
+
+LINES_SQL = "list_filter(list_transform(string_split(coalesce(text, ''), chr(10)), lambda x: trim(x)), lambda x: x <> '')"
+REFERENCES_SQL = s.q(rf"(?i)^(?:{metadata.REFERENCES}){END}")
+YEAR_SQL = s.q(r"(?:^|[^\p{L}\p{N}_])(1[89][0-9]{2}|20[0-9]{2})(?:[^\p{L}\p{N}_]|$)")
+
+
+@query(
+    f"""WITH {values('articles')}, l AS (SELECT id, {LINES_SQL} AS v FROM fx), c AS (SELECT id, v[1:coalesce(list_filter(range(1, len(v) + 1), lambda i: regexp_matches(v[i], {REFERENCES_SQL}))[1] - 1, len(v))] AS v FROM l)
+    SELECT id, CAST(nullif(regexp_extract(substr(array_to_string(v[1:12], chr(10)), 1, 1500), {YEAR_SQL}, 1), '') AS INTEGER) AS year FROM c"""
+)
+def year_extract(spark, d):
+    return fixture(spark, "articles").select("id", metadata.year(F.col("text")).alias("year"))
