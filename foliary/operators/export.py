@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from foliary.functions.text import escape_html, first_of, sanitized_stem, strip, text_of, with_suffix
 
+# The catalog's columns, and what stands for missing LaTeX and text.
 COLUMNS = ["article_id", "title", "authors", "language", "year", "pages", "keywords", "needs_review"]
 NO_LATEX = "% LaTeX статьи недоступен.\n"
 NO_TEXT = "Текст недоступен."

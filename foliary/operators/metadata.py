@@ -19,6 +19,7 @@ STOP_RU = (
 ).split()
 STOP_EN = "a an and are as at be by for from in into is it of on or that the their this to with".split()
 STOP_KEYWORDS = sorted({*STOP_RU, *STOP_EN, *"abstract article authors bibliography keywords references summary аннотация библиография ключевые литература статья статьи".split()})
+# Patterns of years, numbering, quoted titles and names.
 YEAR = r"(?U)\b(1[89]\d{2}|20\d{2})\b"
 NUMBERING = r"(?U)^\s*(?:\[\d+\]|\d+[.)])\s+"
 QUOTED = r"[\"“”«](.+?)[\"“”»]"

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from foliary.config import DEFAULT, TEXT_ROUTE_TYPES, EngineConfig
-from foliary.functions.text import first_of, strip, sub, text_of, visible_length
+from foliary.functions.text import first_of, strip, text_of, visible_length
 
 # Labels of the layout model, by the block type they stand for.
 LABELS = {
@@ -18,6 +18,8 @@ LABELS = {
     "title": ["Section-header", "Title"],
     "table": ["Table", "Form"],
 }
+# Fixed value: what a bare page number looks like.
+PAGE_NUMBER = r"(?U)^[\[\(\-–—]?\s*\d{1,4}\s*[\]\)\-–—]?$"
 
 
 def block_type(label: Column) -> Column:
@@ -49,7 +51,7 @@ def needs_review(content: Column, confidence: Column, backend: Column | None = N
 
 def page_number_text(text: Column) -> Column:
     """One to four digits with at most one bracket or dash on either side."""
-    return strip(text_of(text)).rlike(r"(?U)^[\[\(\-–—]?\s*\d{1,4}\s*[\]\)\-–—]?$")
+    return strip(text_of(text)).rlike(PAGE_NUMBER)
 
 
 def block_id(prefix: Column, number: Column) -> Column:
@@ -126,7 +128,3 @@ def best_candidate(candidates: DataFrame, key: list[str], config: EngineConfig =
     size = visible_length(F.col("text"))
     rank = F.struct(meaningful(F.col("text"), config=config), size, F.coalesce("confidence", F.lit(0.0)), -F.col("priority"))
     return candidates.groupBy(*key).agg(F.max_by(F.struct("backend", "text", "confidence"), rank).alias("best")).select(*key, "best.*")
-
-
-def line_of(text: Column) -> Column:
-    return sub(text, r"(?U)\s+", " ")
