@@ -58,8 +58,9 @@ def csv_line(columns: list[str] = COLUMNS) -> Column:
 
 
 def csv_text(rows: DataFrame, key: list[str], order: str, columns: list[str] = COLUMNS) -> DataFrame:
-    """(key, csv): a whole catalog file per collection, with its header and CRLF line ends."""
-    lines = rows.groupBy(*key).agg(F.array_sort(F.collect_list(F.struct(F.col(order), csv_line(columns).alias("l")))).alias("r"))
+    """(key, csv): a whole catalog file per collection, with its header and CRLF line ends; lines by the length of `order`
+    and then by it, so that article_1000 comes after article_999."""
+    lines = rows.groupBy(*key).agg(F.array_sort(F.collect_list(F.struct(F.length(order).alias("n"), F.col(order), csv_line(columns).alias("l")))).alias("r"))
     return lines.select(*key, F.concat(F.lit(";".join(columns) + "\r\n"), F.array_join(F.transform("r", lambda x: x["l"]), "")).alias("csv"))
 
 

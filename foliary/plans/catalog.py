@@ -661,7 +661,7 @@ def _field_sql(c: str) -> str:
     return f"CASE WHEN regexp_matches({c}, '[;\"\\r\\n]') THEN '\"' || replace({c}, '\"', '\"\"') || '\"' ELSE {c} END"
 
 
-@query(f"{CATALOG_SQL} SELECT document_id, {s.q(';'.join(export.COLUMNS))} || chr(13) || chr(10) || string_agg({' || chr(59) || '.join(_field_sql(x) for x in export.COLUMNS)} || chr(13) || chr(10), '' ORDER BY article_id) AS csv FROM c GROUP BY document_id")
+@query(f"{CATALOG_SQL} SELECT document_id, {s.q(';'.join(export.COLUMNS))} || chr(13) || chr(10) || string_agg({' || chr(59) || '.join(_field_sql(x) for x in export.COLUMNS)} || chr(13) || chr(10), '' ORDER BY length(article_id), article_id) AS csv FROM c GROUP BY document_id")
 def catalog_csv(spark, d):
     return export.csv_text(export.catalog(_export_articles(spark, d)), ["document_id"], "article_id")
 
