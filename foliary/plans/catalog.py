@@ -428,9 +428,10 @@ def segmentation_summary(spark, d):
     return segment.segmentation_summary(_numbered(spark, d))
 
 
-@query(f"WITH {s.BOUNDS} SELECT document_id, page_number FROM d_ WHERE article_index % 2 = 0")
+@query(f"WITH {s.BOUNDS}, a AS (SELECT document_id, article_index FROM d_ GROUP BY document_id, article_index HAVING arg_min(review, n)) SELECT document_id, page_number FROM d_ SEMI JOIN a USING (document_id, article_index)")
 def article_pages_semijoin(spark, d):
-    a = segment.articles(_numbered(spark, d)).where("article_index % 2 = 0")
+    """The pages of articles whose start asks for review."""
+    a = segment.articles(_numbered(spark, d)).where("boundary_review")
     return articles.pages_of(a, views.doc_pages(spark, d)).select(*PAGE)
 
 
@@ -526,13 +527,16 @@ def _tokens_sql(e: str) -> str:
     return f"list_filter(list_transform(regexp_extract_all(lower({e}), '[A-Za-zА-Яа-яЁё-]{{3,}}'), lambda x: trim(x, '-')), lambda x: length(x) >= 3 AND NOT list_contains([{stop}], x))"
 
 
+HEAD_LINE_SQL = f"substr(coalesce(list_filter(list_transform(string_split(coalesce(text, ''), chr(10)), lambda x: {s.strip('x')}), lambda x: x <> '')[1], ''), 1, 240)"
+
+
 def _grams_sql(t: str, n: int, weight: int, group: int) -> str:
     words = " || ' ' || ".join(f"{t}[i + {k}]" for k in range(n))
     return f"SELECT doc_id, unnest(list_transform(range(1, len({t}) - {n} + 2), lambda i: {{'phrase': {words}, 'weight': {weight}, 'seen': i + {group} * 1000000}})) AS p FROM w"
 
 
 @query(
-    f"""WITH w AS (SELECT doc_id, {_tokens_sql('substr(text, 1, 60)')} AS t, {_tokens_sql('substr(text, 1, 1200)')} AS c FROM documents),
+    f"""WITH w AS (SELECT doc_id, {_tokens_sql(HEAD_LINE_SQL)} AS t, {_tokens_sql('substr(text, 1, 1200)')} AS c FROM documents),
     p AS ({' UNION ALL '.join([_grams_sql('t', 3, 7, 0), _grams_sql('t', 2, 8, 1), _grams_sql('c', 2, 1, 2), _grams_sql('c', 3, 1, 3), _grams_sql('c', 1, 1, 4)])}),
     a AS (SELECT doc_id, p.phrase AS phrase, sum(p.weight) AS score, min(p.seen) AS seen FROM p GROUP BY doc_id, p.phrase), r AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY score DESC, seen) AS n FROM a),
     l AS (SELECT doc_id, list([phrase] ORDER BY n) AS top FROM r WHERE n <= 20 GROUP BY doc_id)
@@ -540,7 +544,7 @@ def _grams_sql(t: str, n: int, weight: int, group: int) -> str:
 )
 def keyword_topk(spark, d):
     """Greedy choice over ranked phrases: none that holds or is held by one taken before."""
-    scores = metadata.keyword_scores(docs(spark, d), ["doc_id"], F.substring("text", 1, 60), F.substring("text", 1, 1200))
+    scores = metadata.keyword_scores(docs(spark, d), ["doc_id"], F.substring(F.coalesce(F.get(t.nonempty(t.split_lines(F.col("text"))), F.lit(0)), F.lit("")), 1, 240), F.substring("text", 1, 1200))
     return metadata.chosen_keywords(scores, ["doc_id"]).select("doc_id", F.array_join("keywords", "|").alias("keywords"))
 
 
