@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from foliary.llm import huffman
-from foliary.llm.common import small_batches, staged, table
+from foliary.llm.common import discard, small_batches, staged, table
 from foliary.llm.ordered import range_of, split_points
 
 END = 0
@@ -216,7 +216,9 @@ def write_ids(docs: DataFrame, path: str | None = None, id_col: str = "doc_id",
 
     rows = tokens.where("counts IS NULL").drop("counts").repartitionById(max(1, len(points) + 1), F.col("bucket")).sortWithinPartitions("bucket", "doc_id", "ids")
     blocks = rows.mapInPandas(run, "first long, doc_ids array<long>, sizes array<long>, block binary")
-    return staged(blocks, "none"), length
+    file = staged(blocks, "none")
+    discard(tokens)
+    return file, length
 
 
 def read_ids(blocks: DataFrame, length: np.ndarray, with_ids: bool = True) -> DataFrame:
