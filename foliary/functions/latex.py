@@ -40,10 +40,24 @@ def first_line(c: Column) -> Column:
     return F.coalesce(F.get(plain_lines(c), F.lit(0)), F.lit(""))
 
 
+#: Stands for backslashes while other characters are escaped; texts that have it themselves go character by character.
+MARK = "\x01"
+
+
 def escape_latex(c: Column) -> Column:
-    """All characters at once, so that braces of one escape are not escaped again."""
-    table = F.create_map(*[F.lit(x) for pair in ESCAPES.items() for x in pair])
-    return F.array_join(F.transform(F.split(c, ""), lambda x: F.coalesce(F.try_element_at(table, x), x)), "")
+    """All characters as if at once, so that braces of one escape are not escaped again."""
+
+    def by_character(x: Column) -> Column:
+        table = F.create_map(*[F.lit(v) for pair in ESCAPES.items() for v in pair])
+        return F.array_join(F.transform(F.split(x, ""), lambda y: F.coalesce(F.try_element_at(table, y), y)), "")
+
+    def by_replacement(x: Column) -> Column:
+        x = F.replace(x, F.lit("\\"), F.lit(MARK))
+        for char in [*"{}&%$#_", *"~^"]:
+            x = F.replace(x, F.lit(char), F.lit(ESCAPES[char]))
+        return F.replace(x, F.lit(MARK), F.lit(ESCAPES["\\"]))
+
+    return let(c, lambda x: F.when(F.contains(x, F.lit(MARK)), by_character(x)).otherwise(by_replacement(x)))
 
 
 def unwrap(c: Column, rounds: int = 8) -> Column:
