@@ -2,19 +2,20 @@
 
 A text is encoded as by the library's BPE models: spaces become the word mark, the pair of neighbours that makes the
 best-scored piece is merged, again and again. An agenda (a heap of candidate merges) gives the next candidate; with
-dropout, each candidate is skipped if a keyed hash of seed, variant, chunk, place and piece falls below the rate. A
-skipped candidate may come up again with other neighbours. What the vocabulary lacks becomes byte pieces, as does the
-word mark itself where a text has it, so decoding gives back every text exactly.
+dropout, each candidate is skipped at the rate given, by draws keyed by seed, document, place of the chunk in the document
+and number of the candidate. A skipped candidate may come up again with other neighbours. What the vocabulary lacks
+becomes byte pieces, as does the word mark itself where a text has it, so decoding gives back every text exactly.
 
 No piece goes on after its first word mark run, nor over a line feed, so the text falls into chunks (a run of word
-marks and what follows) that are segmented on their own. Each line of a document draws one of VARIANTS variants, by a
-keyed hash of the document's id and the line's number; within a variant equal chunks are segmented alike, so a worker
-segments each once.
+marks and what follows) that are segmented on their own. Every occurrence of a chunk has draws of its own: the number of
+candidates up to the next one skipped. A worker keeps what a chunk gives by the candidates skipped, so it runs the agenda
+only for sets of skips that it has not met yet.
 """
 
 from __future__ import annotations
 
 import heapq
+import math
 import re
 import zlib
 from array import array
@@ -25,9 +26,13 @@ from pyspark.sql import DataFrame, SparkSession
 
 from foliary.llm.common import small_batches, table, with_made
 
-SEED, RATE, VARIANTS = 11, 0.1, 2
-#: Chunks of one generation that a worker keeps. When it is full, what the last generation has used is kept.
-CACHE = 200_000
+SEED, RATE = 11, 0.1
+#: Segmentations of one generation that a worker keeps. When it is full, what the last generation has used is kept.
+CACHE = 400_000
+#: Segmentations with more skipped candidates than this are not kept.
+KEPT_SKIPS = 3
+#: More candidates than any chunk has; a chunk of two parts.
+NEVER, PARTS = 1 << 60, 1 << 61
 MARK = "▁"
 #: ASCII characters that are no letter, digit or white space.
 MARKS = "!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~"
@@ -65,60 +70,105 @@ class Vocabulary:
         return [self.byte[b] for b in text.encode("utf-8", "surrogatepass")]
 
 
-class _Chunks(dict):
-    """Packed ids of the chunks of one variant, each segmented once."""
-
-    def __init__(self, segmenter: Segmenter, variant: int):
-        super().__init__()
-        self.made, self.variant, self.old = segmenter, variant, {}
-
-    def __missing__(self, chunk: str) -> bytes:
-        out = self.old.pop(chunk, None)
-        if out is None:
-            bare = chunk.rstrip(MARKS)
-            if bare and bare != chunk and chunk[len(bare) - 1 : len(bare) + 1] not in self.made.v.pairs:
-                out = self[bare] + self[chunk[len(bare) :]]  # no piece goes on from the one to the other
-            else:
-                out = array(self.made.v.width, self.made.segment(chunk, self.variant)).tobytes()
-        self[chunk] = out
-        return out
-
-    def age(self) -> None:
-        if len(self) > CACHE:
-            self.old = dict(self)
-            self.clear()
+_GOLDEN, _M1, _M2 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
 
 
 class Segmenter:
-    """Texts to packed ids; variant -1 has no dropout."""
-
-    _chunks = re.compile(f"{MARK}+[^{MARK}]*|[^{MARK}]+").findall
+    """Texts to packed ids. variants is taken for older callers and bounds nothing: every chunk has draws of its own."""
+
+    _chunks = re.compile(f"\n|{MARK}+[^{MARK}\n]*|[^{MARK}\n]+").findall
+    #: Stands for a word mark of the text itself among the chunks.
+    _own_mark = "\n\n"
+
+    def __init__(self, path: str, seed: int, rate: float, variants: int | None = None):
+        self.v, self.seed, self.rate = Vocabulary(path), seed, rate
+        self.scale = 1 / math.log1p(-rate) if 0 < rate < 1 else None
+        #: By a chunk, or a pair (what is skipped before, the next candidate skipped): the number of candidates and the
+        #: packed ids; a lower bound and None; or PARTS and two chunks that are segmented on their own.
+        self.kept: dict = {}
+        self.old: dict = {}
+        self.fixed = {c: (0, array(self.v.width, self.v.spell_bytes(x)).tobytes()) for c, x in ((self._own_mark, MARK), ("\n", "\n"))}
+        self.age()
 
-    def __init__(self, path: str, seed: int, rate: float, variants: int):
-        self.v, self.seed, self.rate, self.variants = Vocabulary(path), seed, int(rate * 2.0**32), variants
-        self.kept = {v: _Chunks(self, v) for v in range(-1, variants)}
-        self.mark, self.feed = (array(self.v.width, self.v.spell_bytes(x)).tobytes() for x in (MARK, "\n"))
-
-    def segment(self, chunk: str, variant: int) -> list[int]:
-        """Agenda processing: the best-scored candidate first, of equal ones the leftmost.
+    def age(self) -> None:
+        if len(self.kept) > CACHE or not self.kept:
+            self.old, self.kept = self.kept, dict(self.fixed)
+
+    def draws(self, doc_id, n: int) -> tuple[list[int], list[int]]:
+        """Of n chunks of a document a key each, and the number of its first candidate that is skipped."""
+        x = np.uint64(xxhash.xxh64_intdigest(f"{self.seed}|{doc_id}")) + np.arange(1, n + 1, dtype="u8") * _GOLDEN
+        x = (x ^ (x >> np.uint64(30))) * _M1
+        x = (x ^ (x >> np.uint64(27))) * _M2
+        x ^= x >> np.uint64(31)
+        if self.scale is None:
+            return x.tolist(), [NEVER if self.rate <= 0 else 0] * n
+        return x.tolist(), (np.log(((x >> np.uint64(11)) + 0.5) * 2.0**-53) * self.scale).astype("i8").tolist()
+
+    def further(self, key: int, k: int) -> int:
+        """Candidates between the k-th that is skipped and the next one."""
+        if self.scale is None:
+            return NEVER if self.rate <= 0 else 0
+        return int(math.log(((xxhash.xxh64_intdigest(key.to_bytes(8, "little"), k) >> 11) + 0.5) * 2.0**-53) * self.scale)
+
+    def chunk(self, chunk: str, key: int, first: int) -> bytes:
+        """Packed ids of a chunk by its draws."""
+        node, at, k = chunk, first, 0
+        while k <= KEPT_SKIPS:
+            e = self.kept.get(node)
+            if e is None:
+                e = self.old.pop(node, None)
+                if e is None:
+                    break
+                self.kept[node] = e
+            most, ids = e
+            if most == PARTS:
+                return self.chunk(ids[0], key, first) + self.chunk(ids[1], key, NEVER if first == NEVER else self.further(key, 1 << 31))
+            if at < most:
+                node, k = (node, at), k + 1
+                at += 1 + self.further(key, k)
+            elif ids is None:
+                break
+            else:
+                return ids
+        if node is chunk:
+            bare = chunk.rstrip(MARKS)
+            if bare and bare != chunk and chunk[len(bare) - 1 : len(bare) + 1] not in self.v.pairs:
+                self.kept[chunk] = (PARTS, (bare, chunk[len(bare) :]))  # no piece goes on from the one to the other
+                return self.chunk(chunk, key, first)
+        found, most, skips = self.segment(chunk, key, first)
+        ids, node = array(self.v.width, found).tobytes(), chunk
+        for s in skips[: KEPT_SKIPS + 1]:
+            if self.kept.get(node, (-1,))[0] <= s:
+                self.kept[node] = (s + 1, None)
+            node = (node, s)
+        if len(skips) <= KEPT_SKIPS:
+            self.kept[node] = (most, ids)
+        return ids
+
+    def segment(self, chunk: str, key: int = 0, first: int = NEVER) -> tuple[list[int], int, list[int]]:
+        """Ids, the number of candidates, and the numbers of those skipped. Agenda processing: the best-scored candidate
+        first, of equal ones the leftmost.
 
         An agenda entry is rank << 32 | place; pair[i] is the rank of what piece i and the next one would make, so an
         entry whose pair has changed since is known as outdated."""
         piece, rank = list(chunk), self.v.rank.get
         n = len(piece)
+        met, at, skips = 0, first, []
         if n > 1:
             after, before = list(range(1, n + 1)), list(range(-1, n - 1))
             pair = [rank(a + b, -1) for a, b in zip(piece, piece[1:], strict=False)]
             pair.append(-1)
             agenda = [r << 32 | i for i, r in enumerate(pair) if r >= 0]
             heapq.heapify(agenda)
-            key = xxhash.xxh64_intdigest(f"{self.seed}|{variant}|{chunk}") if variant >= 0 else 0
             while agenda:
                 top = heapq.heappop(agenda)
                 i = top & 0xFFFFFFFF
                 if pair[i] != top >> 32:
                     continue  # a neighbour has been merged since
-                if variant >= 0 and ((((key ^ top) * 0x9E3779B97F4A7C15) & 0xFFFFFFFFFFFFFFFF) * 0xD6E8FEB86659FD93 >> 32) & 0xFFFFFFFF < self.rate:
+                met += 1
+                if met > at:
+                    skips.append(at)
+                    at += 1 + self.further(key, len(skips))
                     continue
                 j = after[i]
                 both = piece[i] = piece[i] + piece[j]
@@ -144,33 +194,24 @@ class Segmenter:
                     out += self.v.spell_bytes(p)
                 else:
                     out.append(i)
-        return out
-
-    def draws(self, doc_id, n: int) -> list[int]:
-        """The variants of n lines of a document."""
-        out: list[int] = []
-        for i in range(0, n, 16):
-            h = xxhash.xxh64_intdigest(f"{self.seed}|{doc_id}|{i}")
-            out += [(h >> 4 * k & 15) % self.variants for k in range(min(16, n - i))]
-        return out
+        return out, met, skips
 
     def encode(self, text: str, doc_id=None, dropout: bool = True) -> bytes:
         """Packed ids of a whole text. A word mark in the text itself stands as its bytes."""
         if not text:
             return b""
-        lines = text.split("\n")
-        variants = self.draws(doc_id, len(lines)) if dropout else [-1] * len(lines)
-        for k in self.kept.values():
-            k.age()
-        if MARK in text:
-            out = [self.mark.join([self._line(p.replace(" ", MARK), v) for p in x.split(MARK)]) for x, v in zip([" " + lines[0], *lines[1:]], variants, strict=True)]
-        else:
-            lines[0] = " " + lines[0]
-            out = [self._line(x.replace(" ", MARK), v) for x, v in zip(lines, variants, strict=True)]
-        return self.feed.join(out)
-
-    def _line(self, marked: str, variant: int) -> bytes:
-        return b"".join(map(self.kept[variant].__getitem__, self._chunks(marked)))
+        self.age()
+        first, *rest = (" " + text).split(MARK)
+        chunks = self._chunks(first.replace(" ", MARK))
+        for x in rest:
+            chunks.append(self._own_mark)
+            chunks += self._chunks(x.replace(" ", MARK))
+        keys, gaps = self.draws(doc_id, len(chunks)) if dropout else ([0] * len(chunks), [NEVER] * len(chunks))
+        get, out = self.kept.get, []
+        for c, key, gap in zip(chunks, keys, gaps, strict=True):
+            e = get(c)
+            out.append(e[1] if e is not None and gap >= e[0] and e[1] else self.chunk(c, key, gap))
+        return b"".join(out)
 
     def decode(self, ids: bytes) -> str:
         """The text of packed ids: the pieces' texts joined, without the space that encoding puts before a text."""
@@ -194,7 +235,7 @@ def default_path() -> str:
     return public_tokenizers.path("piece_bpe_32k.model")
 
 
-def encode(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", path: str | None = None, seed: int = SEED, rate: float = RATE, variants: int = VARIANTS) -> DataFrame:
+def encode(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", path: str | None = None, seed: int = SEED, rate: float = RATE) -> DataFrame:
     """docs with n_pieces, pieces (the ids) and decoded (the text that they decode to), which replace columns of
     the same names.
 
@@ -205,7 +246,7 @@ def encode(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", path
     path = path or default_path()
 
     def maker():
-        s = segmenter(path, seed, rate, variants)
+        s = segmenter(path, seed, rate)
 
         def make(ids: list, texts: list[str | None]) -> list[list]:
             packed = [s.encode(t or "", d) for d, t in zip(ids, texts, strict=True)]
@@ -217,14 +258,14 @@ def encode(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", path
     return with_made(docs, [id_col, text_col], "n_pieces long, pieces array<int>, decoded string", maker)
 
 
-def digests(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", path: str | None = None, seed: int = SEED, rate: float = RATE, variants: int = VARIANTS) -> DataFrame:
+def digests(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", path: str | None = None, seed: int = SEED, rate: float = RATE) -> DataFrame:
     """As encode(), with digests in place of ids and texts: docs with n_pieces, ids_crc32 (of the ids as little-
     endian uint32) and lossless (whether the ids decode to the text, null being empty)."""
     small_batches(docs.sparkSession, 500)
     path = path or default_path()
 
     def maker():
-        s = segmenter(path, seed, rate, variants)
+        s = segmenter(path, seed, rate)
 
         def make(ids: list, texts: list[str | None]) -> list[list]:
             packed = [s.encode(t or "", d) for d, t in zip(ids, texts, strict=True)]
