@@ -151,19 +151,25 @@ def mix_picks(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", s
     return one.select(shard.alias("shard"), "source", "pick", F.col("x.block").alias("block"), "doc_id", F.col("x.words").alias("words"))
 
 
-def mixed_rows(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", block: int = BLOCK, seed: int = SEED, **how) -> DataFrame:
-    """The mix in whole documents: each row of docs as often as the block with its first word is picked, all columns kept.
+def mixed_rows(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", block: int = BLOCK, seed: int = SEED, repeats: int = REPEATS, **how) -> DataFrame:
+    """The mix in whole documents, all columns kept: each row of docs as often as its source's quota of words takes it.
 
-    On average a source gives its quota of words. Documents without words are not taken. Rows of equal doc_id, source
-    and size are taken equally often.
+    A source gives its quota to within half of one document: all its documents as often as the quota holds the source as
+    a whole, and once more those from the beginning of its stream whose middle lies within the rest of the quota.
+    Documents without words are not taken.
     """
-    at = streams(docs, id_col, text_col, source_col, seed, block=block, **how).where("size > 0")
-    q, place = F.element_at("quota", -1), F.pmod(F.col("a") * F.floor(F.col("o") / block) + F.col("b"), F.col("blocks"))
-    at = at.withColumn("times", F.floor((q - place + F.col("blocks") - 1) / F.col("blocks"))).where(q > place)
-    times = at.groupBy("doc_id", "source", "size").agg(F.max("times").alias("times")).select(F.col("doc_id").alias("i"), F.col("source").alias("s"), F.col("size").alias("z"), "times")
+    at = streams(docs, id_col, text_col, source_col, seed, block=block, repeats=repeats, **how).where("size > 0")
+    q = F.least(F.element_at("quota", -1) * block, F.col("source_size") * repeats)
+    whole = F.floor(q / F.col("source_size"))
+    more = (2 * F.col("o") + F.col("size") <= 2 * (q - whole * F.col("source_size"))).cast("long")
+    times = at.select(F.col("doc_id").alias("i"), F.col("source").alias("s"), F.col("size").alias("z"), "o", (whole + more).alias("times"))
     rows = docs.select(F.struct("*").alias("doc"), F.col(id_col).alias("__i"), F.col(source_col).alias("__s"), words(F.col(text_col)).alias("__z"))
     on = F.col("__i").eqNullSafe(F.col("i")) & F.col("__s").eqNullSafe(F.col("s")) & (F.col("__z") == F.col("z"))
-    each = rows.join(times, on).select("doc", F.explode(F.sequence(F.lit(1).cast("long"), F.col("times"))).alias("__n"))
+    if not times.groupBy("i", "s", "z").count().where("count > 1").isEmpty():  # rows that only their place tells apart
+        times = times.withColumn("k", F.row_number().over(Window.partitionBy("i", "s", "z").orderBy("o")))
+        rows = rows.withColumn("__k", F.row_number().over(Window.partitionBy("__i", "__s", "__z").orderBy(F.col("doc")[text_col])))
+        on = on & (F.col("__k") == F.col("k"))
+    each = rows.join(times.where("times > 0"), on).select("doc", F.explode(F.sequence(F.lit(1).cast("long"), F.col("times"))).alias("__n"))
     return each.select(*[F.col("doc")[c].alias(c) for c in docs.columns])
 
 
