@@ -81,7 +81,7 @@ class Encoder:
 
     The vocabulary's own pattern never joins across a single space or line feed between two other characters, nor from
     a letter or digit to a punctuation mark, so a text is cut there and each distinct piece is encoded once per worker.
-    A text with any other white space goes to the library as a whole. Either way the ids are those of the library on
+    A text with any other white space, or with an added token's content, goes to the library as a whole. Either way the ids are those of the library on
     the whole text.
     """
 
@@ -89,7 +89,8 @@ class Encoder:
         from tokenizers import Tokenizer
 
         self.library = Tokenizer.from_file(path)
-        self.library.encode_special_tokens = True
+        #: What the library takes as one id wherever a text has it.
+        self.added = [t.content for t in self.library.get_added_tokens_decoder().values() if t.content]
         self.code = "H" if self.library.get_vocab_size() <= 1 << 16 else "I"
         self.width = array(self.code).itemsize
         self.model, self.shown = self.library.model, byte_characters()
@@ -110,6 +111,8 @@ class Encoder:
         return array(self.code, [t.id for t in self.model.tokenize(shown)]).tobytes()
 
     def __call__(self, text: str) -> bytes:
+        if any(x in text for x in self.added):
+            return self.ids(text)
         self.line.age()
         self.word.age()
         first, *rest = text.split(" ")
