@@ -57,7 +57,8 @@ def discard(df: DataFrame) -> None:
 
 
 def small_batches(spark: SparkSession, rows: int = 1000) -> None:
-    """Rows per Arrow batch: whole texts are large, so a batch holds few of them."""
+    """Rows and bytes per Arrow batch: whole texts are large, so a batch holds few of them."""
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(16 << 20))
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
 
 

@@ -131,7 +131,7 @@ def grams(words):
 
 def test_kneser_ney_against_its_definition():
     a, b = grams(["the", "then", "there", "cat", "that"]), grams(["der", "die", "das", "dem", "den"])
-    m = Model(["en", "de"], [dict(a), dict(b)])
+    m = Model.of_counts(["en", "de"], [dict(a), dict(b)])
     alphabet = len({g[-1] for g in [*a, *b]}) + 1
     words = ["the", "that", "den", "zzz", "thdas", "e"]
     got = m.words(words)
@@ -147,10 +147,43 @@ def test_languages_of_held_out_documents(docs, texts):
     assert not any(x.rejected for x in r if regex.search(r"\p{L}", texts[x.doc_id].text or ""))
 
 
+def test_counts_models_and_predictions_against_plain_loops(spark, docs, texts):
+    some = docs.where("length(text) < 400 AND lang IN ('de', 'fr')")
+    rows = [r for r in some.collect()]
+    learned = [r for r in rows if zlib.crc32(str(r.doc_id).encode()) % 5 not in (0, 4)]
+    split = lambda t: regex.findall(r"\p{L}{1,32}", t.lower())
+    want = {lang: grams(w for r in learned if r.lang == lang for w in split(r.text)) for lang in ("de", "fr")}
+    train = some.where("crc32(cast(cast(doc_id as string) as binary)) % 5 NOT IN (0, 4)")
+    got = {(r.lang, r.gram): r.n for r in op2_language.gram_counts(train, counted_words=50).collect()}
+    assert got == {(lang, g): n for lang, c in want.items() for g, n in c.items()}
+    alphabet = len({g[-1] for c in want.values() for g in c}) + 1
+    pred = {r.doc_id: r for r in op2_language.identify(some).collect()}
+    for r in [r for r in rows if len(r.text) < 120][:12]:
+        words = split(r.text)
+        if words:
+            n = sum(map(len, words)) + len(words)
+            ce = {lang: -sum(brute_kn(c, w, alphabet) for w in words) / n for lang, c in want.items()}
+            assert pred[r.doc_id].lang_pred == min(ce, key=ce.get)
+            assert pred[r.doc_id].cross_entropy == pytest.approx(min(ce.values()), abs=1e-3)
+
+
+def test_models_in_parts_are_the_whole_model(docs, odd):
+    for df in (docs, odd):
+        whole = op2_language.identify(df)
+        parts = op2_language.identify(df, model_bytes=1 << 20)
+        key = lambda r: (str(r.doc_id), r.lang_pred, r.cross_entropy or 0)
+        for a, b in zip(sorted(whole.collect(), key=key), sorted(parts.collect(), key=key), strict=True):
+            assert (a.doc_id, a.held_out, a.lang_pred, a.rejected) == (b.doc_id, b.held_out, b.lang_pred, b.rejected)
+            assert (a.score, a.cross_entropy or 0) == pytest.approx((b.score, b.cross_entropy or 0), abs=1e-3)
+    rows = docs.select("lang", "text").where("lang IS NOT NULL AND text IS NOT NULL")
+    trained = op2_language.train(rows, 1 << 20)
+    assert len(trained.parts) > 1 and sorted(b for p in trained.parts for b in p) == list(range(op2_language.BUCKETS))
+
+
 def test_gibberish_is_rejected(spark, docs):
-    model, known = op2_language.fit(docs)
+    trained = op2_language.fit(docs)
     rows = spark.createDataFrame([(1, "xqzj vwkx qqzz jxkv zzqx " * 20), (2, "!!! 123"), (3, None)], "doc_id int, text string")
-    r = {x.doc_id: x for x in op2_language.predict(rows, model, known).collect()}
+    r = {x.doc_id: x for x in op2_language.predict(rows, trained).collect()}
     assert r[1].rejected and r[2].lang_pred == "und" and r[3].score == 0
 
 
