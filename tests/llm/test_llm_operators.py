@@ -208,19 +208,19 @@ def library():
 
 
 def test_without_dropout_as_the_library(texts):
-    s, sp = op3_pieces.Segmenter(op3_pieces.default_path(), 11, 0.1, 2), library()
+    s, sp = op3_pieces.Segmenter(op3_pieces.default_path(), 11, 0.1), library()
     for x in [*(r.text for r in list(texts.values())[:60]), "a  b", " x ", "x\ny\n\n", "", " ", "ﬁ ①\t", "<s> é"]:
         assert np.frombuffer(s.encode(x, dropout=False), s.v.width).tolist() == sp.encode(x)
         assert s.decode(s.encode(x, dropout=False)) == x
 
 
 def test_dropout_varies_and_decodes(odd, docs):
-    s, sp = op3_pieces.Segmenter(op3_pieces.default_path(), 11, 0.1, 2), library()
+    s, sp = op3_pieces.Segmenter(op3_pieces.default_path(), 11, 0.1), library()
     text = "several segmentations of these perfectly ordinary words are expected here\n" * 8
     some = {s.encode(text, i) for i in range(20)}
     assert len(some) > 10 and all(s.decode(x) == text for x in some)
     assert all(sp.decode(np.frombuffer(x, s.v.width).tolist()) == text for x in some)
-    assert s.encode(text, 3) == op3_pieces.Segmenter(op3_pieces.default_path(), 11, 0.1, 2).encode(text, 3)
+    assert s.encode(text, 3) == op3_pieces.Segmenter(op3_pieces.default_path(), 11, 0.1).encode(text, 3)
     for df in (odd, docs):
         r = op3_pieces.encode(df).select("text", "decoded", "n_pieces", F.size("pieces").alias("k")).collect()
         assert all(x.decoded == (x.text or "") and x.n_pieces == x.k for x in r)
