@@ -511,7 +511,7 @@ PII = [
 
 def test_surrogates(spark):
     df = spark.createDataFrame(PII, "doc_id int, text string").withColumn("t", F.lit("clash")).withColumn("n", F.lit(1)).withColumn("k", F.lit(2))
-    r = {x.doc_id: x for x in op9_pii.pseudonymize(df, count_col="found").collect()}
+    r = {x.doc_id: x for x in op9_pii.pseudonymize(df, "key", count_col="found").collect()}
     assert r[6].text == PII[5][1] and r[7].text is None and r[8].text == "" and r[6].found == 0 and r[1].t == "clash"
     for i, secret in ((1, "jörg.99@mail7"), (1, "743) 555-3824"), (1, "4111111111111111"), (2, "JOHN@EXAMPLE.ORG"), (2, "152.143.123.131"), (3, "04dbebab"), (3, "078-05-1120"), (4, "Anna"), (4, "Schmidt"), (4, "Weber"), (4, "Петров"), (9, "DE8937040044"), (9, "4111-1111")):
         assert secret not in r[i].text
@@ -522,33 +522,83 @@ def test_surrogates(spark):
     assert regex.search(r"^MAIL [A-Z]{4}@[A-Z]{7}\.EXAMPLE from 10\.\d+\.\d+\.\d+ and 10\.\d+\.\d+\.\d+###$", r[2].text)
     assert regex.search(r'^token = "[0-9a-f]{40}" 9\d\d-\d\d-\d{4}$', r[3].text)
     m = regex.search(r"^Mrs\. (\w+) (\w+) met Dr (\w+); Mrs\. (\w+) (\w+) and Herr (\w+) left\. г-н ([А-Яа-я]+)$", r[4].text)
-    assert m and m[1] == m[4] and m[2] == m[5] and m[1] in op9_pii.GIVEN["latin", "f"]
-    assert regex.search(r"^DE[0-9]{20} \d{4}-\d{4}-\d{4}-\d{4}$", r[9].text)
+    assert m and m[1] == m[4] and m[2] == m[5] and m[3] == m[6] and m[1].endswith(tuple(op9_pii.ENDS["latin", "given_f"]))
+    assert m[7].endswith(tuple(op9_pii.ENDS["cyrillic", "surname_inflected"]))
+    m = regex.search(r"^DE([0-9]{20}) \d{4}-\d{4}-\d{4}-\d{4}$", r[9].text)
+    assert m and int(f"{m[1][2:]}1314{m[1][:2]}") % 97 == 1
     assert r[4].found == 7
 
 
+NAMES = [
+    (1, "Mrs. Anna Schmidt met Dr Weber. Herr Weber left; Weber was late, Webern too. Herr Schmidt called. Anna and Schmidt's dog"),
+    (2, "Dr Anna Weber and Herr Kim Weber. Prof. Kim stayed"), (3, "Anna, Weber and Schmidt are not known here"), (4, "г-н Иван Петров, г-жа Петрова, Петрова и Петров; г-жа Коваленко"),
+    (5, "a@mail.example.com b@mail.example.com B@MAIL.EXAMPLE.COM"), (6, "fe80:0:0:0:0:0:0:1 and 2001:db8::ff00:42 at 12:30:45"), (7, "no card 4111111111111112, no IBAN DE00370400440532013000"), (8, "x\ufdd0 Herr Weber 10.0.0.1\ufdd0"),
+]
+
+
+def test_names_of_one_person_and_other_mentions(spark):
+    r = {x.doc_id: x for x in op9_pii.pseudonymize(spark.createDataFrame(NAMES, "doc_id int, text string"), "key", count_col="n").collect()}
+    w = r"([\p{L}]+)"
+    a = regex.fullmatch(rf"Mrs\. {w} {w} met Dr {w}\. Herr {w} left; {w} was late, Webern too\. Herr {w} called\. {w} and {w}'s dog", r[1].text)
+    anna, schmidt, weber = a[1], a[2], a[3]
+    assert a[4] == a[5] == weber and a[6] == a[8] == schmidt and a[7] == anna and r[1].n == 8
+    assert len({anna, schmidt, weber, "Anna", "Schmidt", "Weber"}) == 6 and anna.endswith(tuple(op9_pii.ENDS["latin", "given_f"]))
+    b = regex.fullmatch(rf"Dr {w} {w} and Herr {w} {w}\. Prof\. {w} stayed", r[2].text)
+    assert b[1] == anna and b[2] == b[4] == weber and b[3].endswith(tuple(op9_pii.ENDS["latin", "given_m"])) and b[5] != "Kim"
+    assert r[3].text == NAMES[2][1] and r[3].n == 0 and r[7].text == NAMES[6][1] and r[7].n == 0
+    c = regex.fullmatch(rf"г-н {w} {w}, г-жа {w}, {w} и {w}; г-жа {w}", r[4].text)
+    assert c[3] == c[4] == c[2] + "а" and c[5] == c[2] and c[2] != "Петров" and c[6].endswith(tuple(op9_pii.ENDS["cyrillic", "surname"]))
+    hosts = [x.split("@") for x in r[5].text.split()]
+    assert hosts[0][1] == hosts[1][1] == hosts[2][1].lower() and hosts[0][0] != hosts[1][0] and hosts[2][1].isupper()
+    assert regex.fullmatch(r"fd00(:\d){7} and fd00:[0-9a-f]{2}\d::[a-f]{2}\d\d:\d\d at 12:30:45", r[6].text)
+    assert regex.fullmatch(rf"x\ufdd0 Herr {weber} 10\.\d+\.\d+\.\d+\ufdd0", r[8].text)
+
+
+def test_thousands_of_names_stay_names(spark):
+    rows = [(f"given_{'mf'[i % 2]}", f"N{i}") for i in range(2500)] + [("surname", f"S{i}") for i in range(2500)]
+    r = op9_pii.assign(spark.createDataFrame(rows, "kind string, value string"), "key").collect()
+    assert len({x.s for x in r}) == 5000 and all(x.s.endswith(tuple(op9_pii.ENDS["latin", x.kind])) and x.s.istitle() for x in r)
+
+
+def test_text_outside_of_entities_stays(docs, texts):
+    """Every text against its entities' places, found by the patterns in Python."""
+    find = regex.compile("|".join(f"(?P<{k}>{v})" for k, v in op9_pii.PATTERNS.items()))
+    luhn = lambda v: sum(sum(divmod(int(c) * (1 + i % 2), 10)) for i, c in enumerate(regex.sub("[ -]", "", v)[::-1])) % 10 == 0
+    got, given = {r.doc_id: r for r in op9_pii.pseudonymize(docs, "key", count_col="n").collect()}, {}
+    for i, row in texts.items():
+        spans = [m for m in find.finditer(row.text or "") if m.lastgroup != "card" or luhn(m[0])]
+        assert got[i].n == len(spans)
+        gaps = [(row.text or "")[a:b] for a, b in zip([0, *[m.end() for m in spans]], [*[m.start() for m in spans], None])]
+        m = regex.fullmatch("(.+?)".join(map(regex.escape, gaps)), got[i].text or "", regex.S)
+        assert m
+        for old, new in zip(spans, m.groups()):
+            assert given.setdefault(old[0], new) == new and len(new) in (len(old[0]), *range(8 if old.lastgroup == "ip" else 0, 16), len(old[0]) + 4)
+    assert len(set(given.values())) == len(given) and not set(given.values()) & given.keys()
+
+
 def test_distinct_entities_stay_distinct(spark):
-    rows = [("ip", f"1.2.{i // 256}.{i % 256}") for i in range(600)] + [("surname_n", w) for w in {"Q" + "".join(chr(97 + (i // 26**k) % 26) for k in range(3)) for i in range(300)} | {"Berger"}]
-    r = op9_pii.assign(spark.createDataFrame(rows, "kind string, value string")).collect()
+    rows = [("ip", f"1.2.{i // 256}.{i % 256}") for i in range(600)] + [("surname", w) for w in {"Q" + "".join(chr(97 + (i // 26**k) % 26) for k in range(3)) for i in range(300)} | {"Berger"}]
+    r = op9_pii.assign(spark.createDataFrame(rows, "kind string, value string"), "key").collect()
     assert len(r) == len(rows) and len({x.s for x in r}) == len(rows)
     assert not {x.s for x in r} & {v for _, v in rows}
-    again = op9_pii.assign(spark.createDataFrame(rows[::-1], "kind string, value string").repartition(5)).collect()
+    again = op9_pii.assign(spark.createDataFrame(rows[::-1], "kind string, value string").repartition(5), "key").collect()
     assert {(x.kind, x.value, x.s) for x in again} == {(x.kind, x.value, x.s) for x in r}
 
 
 def test_all_of_the_documents_entities_go(docs, texts):
     find = regex.compile(r"[\p{L}\p{N}._%+-]+@[\w.-]+\.\p{L}+|\b\d{16}\b|\b\d{1,3}(?:\.\d{1,3}){3}\b|\+1 \(\d{3}\) 555-\d{4}|\b(?:[0-9a-f]{40}|[0-9A-F]{40})\b")
     n = 0
-    for r in op9_pii.pseudonymize(docs).collect():
+    for r in op9_pii.pseudonymize(docs, "key").collect():
         for e in find.findall(texts[r.doc_id].text):
             n += 1
-            assert e not in r.text
+            other = regex.fullmatch(r"\d{16}", e) and sum(sum(divmod(int(c) * (1 + i % 2), 10)) for i, c in enumerate(e[::-1])) % 10
+            assert (e in r.text) == bool(other)  # numbers that no card has stay
     assert n
 
 
 def test_private_data_in_empty_tables(empty, odd):
-    assert op9_pii.pseudonymize(empty).count() == 0
-    r = op9_pii.pseudonymize(odd)
+    assert op9_pii.pseudonymize(empty, "key").count() == 0
+    r = op9_pii.pseudonymize(odd, "key")
     assert r.columns == odd.columns and r.count() == len(ODD)
 
 
