@@ -421,27 +421,56 @@ def test_mix_on_odd_rows(odd, empty):
 # 7: licences
 
 
-def test_dice_by_definition(spark, odd, empty):
-    lines = ["Released under the MIT License.", "RELEASED!! under the MIT*** license", "Released under the License", "no licence here at all", "x\nLicensed under CC BY-NC 4.0.\ny"]
+def plain_matches(text):
+    """All runs from hit to hit, by loops."""
+    w = op7_licenses.words_of(text or "")
+    g, out = [f"{a} {b}" for a, b in zip(w, w[1:])], []
+    for n, (name, template) in enumerate(op7_licenses.TEMPLATES):
+        b = op7_licenses.bigrams_of(template)
+        most = int(1.5 * len(b))  # 2 |B| / (|A| + |B|) >= 0.8
+        hits = [i for i, x in enumerate(g) if x in b]
+        for i in hits:
+            some = []
+            for cap in (len(b), most):
+                j = max(h for h in hits if i <= h < i + cap)
+                a = set(g[i : j + 1])
+                some.append((2 * len(a & b) / (len(a) + len(b)), -(j - i + 1)))
+            dice, less = max(some)
+            if dice >= 0.8:
+                out.append((dice, -n, -i, -less, name))
+    apart = lambda x, y: -x[2] + x[3] < -y[2] or -y[2] + y[3] < -x[2]
+    return sorted((-x[2], x[4], x[3] + 1, x[0]) for x in out if all(apart(x, y) or y[:3] <= x[:3] for y in out))
+
+
+def licences(spark, lines):
     df = spark.createDataFrame(list(enumerate(lines)), "doc_id int, text string")
-    got = {r.doc_id: {(u.unit, u.name): u.dice for u in r.found} for r in op7_licenses.license_matches(df).collect()}
+    return {r.doc_id: [(u.start, u.name, u.words, u.dice) for u in r.found] for r in op7_licenses.license_matches(df).collect()}
+
+
+def test_licences_by_definition(spark, odd, empty, texts):
+    full = {m: x for m, x in op7_licenses.TEMPLATES}
+    wrap = lambda x: "\n".join(regex.findall(r".{1,60}(?:\s|$)", x))
+    code = "\n".join(f"x{i} = call(y{i}, z) # of the software and the use of it" for i in range(200))
+    lines = [
+        "Released under the MIT License.", "RELEASED!! under the MIT*** license", "Released under the License", "no licence here at all", "x\nLicensed under CC BY-NC 4.0.\ny",
+        "All of it is released under the MIT License unless said otherwise in a file", f"{code}\n{wrap(full['MIT'])}\n{code}", f"{wrap(full['BSD-3-Clause'])}\n{code}", "# " + wrap(full["GPL-3.0"]).replace("\n", "\n# ") + code,
+        "Released under the MIT License.\nLicensed under the Apache License, Version 2.0.\nReleased under the MIT License.", None, "", "license " * 500, "of the " * 200, full["BSD-2-Clause"] + " " + full["Zlib"],
+        *(r.text for r in texts.values() if "icense" in (r.text or "")),
+    ]
+    got = licences(spark, lines)
     for i, text in enumerate(lines):
-        units = dict(enumerate(text.split("\n"), 1)) | ({0: text} if "\n" in text else {})
-        want = {}
-        for u, t in units.items():
-            a = op7_licenses.bigrams_of(t)
-            best = max(((2 * len(a & b) / (len(a) + len(b)), -n, name) for n, (name, b) in enumerate((m, op7_licenses.bigrams_of(x)) for m, x in op7_licenses.TEMPLATES) if a), default=(0, 0, ""))
-            if best[0] >= 0.8:
-                want[u, best[2]] = best[0]
-        assert got[i] == pytest.approx(want)
-    assert got[0] and got[1] and got[4]
-    assert op7_licenses.license_matches(odd).count() == len(ODD) and op7_licenses.license_matches(empty).count() == 0
-
-
-def test_whole_licence_texts(spark):
-    text = op7_licenses.TEMPLATES[-2][1].replace(". ", ".\n")
-    r = op7_licenses.license_matches(spark.createDataFrame([(1, text)], "doc_id int, text string")).first().found
-    assert (0, "MIT") in {(u.unit, u.name) for u in r}
+        want = plain_matches(text)
+        assert [x[:3] for x in got[i]] == [x[:3] for x in want] and [x[3] for x in got[i]] == pytest.approx([x[3] for x in want]), text
+    name = lambda i: [x[1] for x in got[i]]
+    assert name(0) == name(1) == name(5) == name(6) == ["MIT"] and name(2) == name(3) == [] and name(4) == ["CC-BY-NC-4.0"] and name(7) == ["BSD-3-Clause"] and name(8) == ["GPL-3.0"]
+    assert name(9) == ["MIT", "Apache-2.0", "MIT"] and name(14) == ["BSD-2-Clause", "Zlib"]
+    r = op7_licenses.license_matches(odd).collect()
+    assert len(r) == len(ODD) and not any(x.found for x in r) and op7_licenses.license_matches(empty).count() == 0
+
+
+def test_every_template_finds_itself(spark):
+    got = licences(spark, [x for _, x in op7_licenses.TEMPLATES])
+    assert all(name in [x[1] for x in got[i]] and max(x[3] for x in got[i]) == 1 for i, (name, _) in enumerate(op7_licenses.TEMPLATES))
 
 
 # 8: top k
