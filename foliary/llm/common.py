@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
@@ -21,10 +22,12 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share; a temporary one only where none is set (tests, local runs)."""
+    """The folder that driver and executors share; a temporary one only where none is set and all runs in one process."""
     sc = spark.sparkContext
     named = spark.conf.get("spark.checkpoint.dir", None) or sc.getCheckpointDir()
     if not named:
+        if not re.match(r"local(\[|$)", sc.master):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         named = tempfile.mkdtemp(prefix="foliary-")
     if not sc.getCheckpointDir():
         sc.setCheckpointDir(named)
@@ -62,6 +65,16 @@ def small_batches(spark: SparkSession, rows: int = 1000) -> None:
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
 
 
+def copies(df: DataFrame, n: str, into: str, key: str, most: int, chunk: int = 1 << 16) -> DataFrame:
+    """A row for each of the n copies that a row stands for, numbered from 0 in `into`. most is the largest n: rows of many
+    copies are cut into chunks that are dealt out before they are written out."""
+    begin = F.explode(F.sequence(F.lit(0).cast("long"), F.col(n) - 1, F.lit(chunk).cast("long")))
+    out = df.withColumn("__begin", begin)
+    if most > chunk:
+        out = out.repartition(F.col(key), F.col("__begin"))
+    return out.withColumn(into, F.explode(F.sequence(F.col("__begin"), F.least(F.col(n), F.col("__begin") + chunk) - 1))).drop("__begin")
+
+
 def md5_int(text: Column, digits: int = 15) -> Column:
     """A non-negative integer from the first hex digits of MD5, the same in any SQL engine."""
     return F.conv(F.substring(F.md5(text), 1, digits), 16, 10).cast("long")

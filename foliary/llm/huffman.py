@@ -6,17 +6,18 @@ import struct
 
 import numpy as np
 
-#: Longest code; a decoding table has 2^LIMIT entries.
+#: Longest code, one bit more than its ids need for larger vocabularies; a decoding table has two to the longest entries.
 LIMIT = 16
 #: A checkpoint holds the bit offset of every STRIDE-th id of a block.
 STRIDE = 256
 MAGIC = b"HID1"
 
 
-def lengths(counts: np.ndarray, limit: int = LIMIT) -> np.ndarray:
+def lengths(counts: np.ndarray, limit: int | None = None) -> np.ndarray:
     """Optimal code lengths of at most `limit` bits by package-merge; 0 for ids that do not occur."""
     out = np.zeros(len(counts), np.uint8)
     ids = np.flatnonzero(counts)
+    limit = limit or max(LIMIT, len(ids).bit_length() + 1)
     if len(ids) > 1 << limit:
         raise ValueError("more ids than codes of this length")
     if len(ids) < 2:
@@ -57,8 +58,9 @@ def codes(length: np.ndarray) -> np.ndarray:
     return out
 
 
-def table(length: np.ndarray, limit: int = LIMIT) -> tuple[np.ndarray, np.ndarray]:
-    """By the next `limit` bits: the id, and the length of its code."""
+def table(length: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """By the next bits, as many as the longest code has: the id, and the length of its code."""
+    limit = max(LIMIT, int(length.max(initial=0)))
     symbol, size = np.zeros(1 << limit, np.uint32), np.ones(1 << limit, np.uint8)
     code = codes(length)
     for i in np.flatnonzero(length):
@@ -95,10 +97,11 @@ def encode(ids: np.ndarray, packed: tuple[np.ndarray, np.ndarray], first: int) -
     return MAGIC + struct.pack("<QII", first, len(ids), len(words)) + marks.tobytes() + words.astype(">u8").tobytes()
 
 
-def decode(block: bytes, symbol: np.ndarray, size: np.ndarray, limit: int = LIMIT) -> tuple[int, np.ndarray]:
+def decode(block: bytes, symbol: np.ndarray, size: np.ndarray) -> tuple[int, np.ndarray]:
     """(first global position, ids). All checkpoints of the block advance together, one id each a step."""
     if block[:4] != MAGIC:
         raise ValueError("not a block of ids")
+    limit = len(symbol).bit_length() - 1
     first, n, words = struct.unpack_from("<QII", block, 4)
     k = -(-n // STRIDE)
     at = np.frombuffer(block, "<u8", k, 20).astype(np.int64)

@@ -3,7 +3,7 @@
 File format: a table of blocks in the shared folder, one row a block, written by Spark's committer so that lost
 executors leave no partial files. A block is independent: magic, global position of its first id, number of ids, bit
 offsets of every STRIDE-th id, code bits; beside it stand the ids and lengths of its documents. The codes are canonical,
-at most LIMIT bits long and follow from the counts of all ids, so the header of the file is one length per id.
+of limited length and follow from the counts of all ids, so the header of the file is one length per id.
 """
 
 from __future__ import annotations
@@ -81,8 +81,8 @@ class Encoder:
 
     The vocabulary's own pattern never joins across a single space or line feed between two other characters, nor from
     a letter or digit to a punctuation mark, so a text is cut there and each distinct piece is encoded once per worker.
-    A text with any other white space, or with an added token's content, goes to the library as a whole. Either way the ids are those of the library on
-    the whole text.
+    A text with any other white space, or with an added token's content, goes to the library as a whole. Either way the
+    ids are those of the library on the whole text.
     """
 
     def __init__(self, path: str):
@@ -244,5 +244,6 @@ def read_ids(blocks: DataFrame, length: np.ndarray, with_ids: bool = True) -> Da
 
 
 def op10_huffman_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """write_ids() and read_ids() over all documents; null texts have the end id alone, an empty table gives no row."""
     blocks, length = write_ids(table(spark, sf_dir, "documents"))
     return read_ids(blocks, length, with_ids=False)

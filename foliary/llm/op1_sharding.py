@@ -16,7 +16,7 @@ import hashlib
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from foliary.llm.common import crc32_text, cut, in_values, md5_int, table
+from foliary.llm.common import copies, crc32_text, cut, in_values, md5_int, table
 
 SHARDS = 40
 VNODES = 64
@@ -77,7 +77,7 @@ def ring_shards(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
     size is the UTF-8 length plus 16; a null text counts as none (CRC of nothing: 0). A null doc_id is a key of its
     own. Repeated rows each get a slot: equal keys are counted before the shuffle, so a key of any weight is one row
-    until its slots are dealt out. Ties on the ring are ordered by doc_id, size and CRC. An empty table gives an empty
+    until its slots are dealt out, in chunks. Texts of any length count by their bytes alone. Ties on the ring are ordered by doc_id, size and CRC. An empty table gives an empty
     result; other columns are not read.
     """
     spark, nodes = docs.sparkSession, ring(shards, vnodes)
@@ -87,12 +87,12 @@ def ring_shards(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
         crc32_text(F.col(text_col)).alias("text_crc32"),
     )
     keyed = cut(rows.groupBy("doc_id", "size", "text_crc32").agg(F.count(F.lit(1)).alias("n")))
-    total = keyed.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count(F.lit(1))).first()
+    total = keyed.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count(F.lit(1)), F.coalesce(F.max("n"), F.lit(0))).first()
     subs = max(1, -(-total[1] // (len(nodes) * BUCKET)))
     at = keyed.withColumn("p", md5_int(F.concat(F.lit("key "), F.coalesce(F.col("doc_id").cast("string"), F.lit("none")))))
     cells = F.broadcast(in_values(spark, arc_cells(nodes), "cell long, lo long, hi long, arc int"))
     on = (F.floor(F.col("p") / F.lit(CELL)).cast("long") == F.col("cell")) & (F.col("p") >= F.col("lo")) & (F.col("p") <= F.col("hi"))
-    at = at.withColumn("p", F.col("p")).join(cells, on).drop("cell", "lo", "hi").withColumn("sub", F.pmod(F.col("p"), F.lit(subs)).cast("int"))
+    at = at.join(cells, on).drop("cell", "lo", "hi").withColumn("sub", F.pmod(F.col("p"), F.lit(subs)).cast("int"))
     sums = cut(at.groupBy("arc", "sub").agg(F.sum("n").alias("rows")))
     counts = {r.arc: r["rows"] for r in sums.groupBy("arc").agg(F.sum("rows").alias("rows")).collect()}
     dealt = F.broadcast(in_values(spark, place(counts, nodes, bounds_of(total[0], shards, slack)), "arc int, first long, after long, shard int, slot0 long"))
@@ -100,11 +100,12 @@ def ring_shards(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     offsets = sums.withColumn("offset", F.coalesce(F.sum("rows").over(before), F.lit(0))).drop("rows")
     within = Window.partitionBy("arc", "sub").orderBy("p", "doc_id", "size", "text_crc32").rowsBetween(Window.unboundedPreceding, -1)
     ranked = at.withColumn("k", F.coalesce(F.sum("n").over(within), F.lit(0))).join(offsets, ["arc", "sub"])
-    each = ranked.withColumn("copy", F.explode(F.sequence(F.lit(0).cast("long"), F.col("n") - 1))).withColumn("k", F.col("offset") + F.col("k") + F.col("copy"))
+    each = copies(ranked, "n", "copy", "p", total[2]).withColumn("k", F.col("offset") + F.col("k") + F.col("copy"))
     out = each.join(dealt, "arc").where((F.col("k") >= F.col("first")) & (F.col("k") < F.col("after")))
     return out.select("doc_id", "size", "text_crc32", "shard", (F.col("slot0") + F.col("k") - F.col("first")).alias("slot"))
 
 
 def op1_ring_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """ring_shards() over all documents by the law `rows`; null texts have size 16, an empty table gives no row."""
     out = ring_shards(table(spark, sf_dir, "documents"))
     return out.select("doc_id", "size", "text_crc32", F.lit("rows").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))

@@ -111,33 +111,32 @@ def signed(x: int) -> int:
     return x - (1 << 64) if x >= 1 << 63 else x
 
 
-def allocate(parts: list[list[int]], counts: list[dict[int, int]], distance: int) -> list[int]:
-    """Thresholds by dynamic programming on estimated candidate counts. counts: by partition, of each own value."""
-    most = min(distance, 2)
-    cost = []
-    for bits, c in zip(parts, counts, strict=True):
-        keys = np.array(list(c), "u8")
-        n = np.array(list(c.values()), "f8")
-        packed = np.zeros(len(keys), np.int64)
-        for k, b in enumerate(bits):
-            packed |= ((keys >> np.uint64(b)) & np.uint64(1)).astype(np.int64) << k
-        dense = np.zeros(1 << len(bits))
-        dense[packed] = n
-        near, row = np.zeros_like(n), [0.0]
-        for t in range(most + 1):
-            for mask in [0] if t == 0 else [x for x in masks_within(list(range(len(bits))), t) if x.bit_count() == t]:
-                near += dense[packed ^ mask]
-            probes = 1 + sum(1 for x in masks_within(list(range(len(bits))), t))
-            row.append(float((n * near).sum()) / 2 + 20.0 * float(n.sum()) * probes)
-        cost.append(row)
-    need = distance - len(parts) + 1
+def probe_costs(bits: list[int], keys: np.ndarray, n: np.ndarray, most: int) -> list[float]:
+    """Estimated work of a partition by its threshold from -1 to most: candidate pairs, and probes at 20 pairs each."""
+    packed = np.zeros(len(keys), np.int64)
+    for k, b in enumerate(bits):
+        packed |= ((keys >> np.uint64(b)) & np.uint64(1)).astype(np.int64) << k
+    dense = np.zeros(1 << len(bits))
+    dense[packed] = n
+    near, row, probes = np.zeros_like(n), [0.0], 0
+    for t in range(most + 1):
+        for mask in [0] if t == 0 else [x for x in masks_within(list(range(len(bits))), t) if x.bit_count() == t]:
+            near += dense[packed ^ mask]
+            probes += 1
+        row.append(float((n * near).sum()) / 2 + 20.0 * float(n.sum()) * probes)
+    return row
+
+
+def allocate(costs: list[list[float]], distance: int) -> list[int]:
+    """Thresholds by dynamic programming on the costs of each partition by threshold from -1 on."""
+    need = distance - len(costs) + 1
     best: dict[int, tuple[float, list[int]]] = {0: (0.0, [])}
-    for row in cost:
+    for row in costs:
         nxt: dict[int, tuple[float, list[int]]] = {}
         for s, (c, ts) in best.items():
-            for t in range(-1, most + 1):
-                if s + t not in nxt or c + row[t + 1] < nxt[s + t][0]:
-                    nxt[s + t] = (c + row[t + 1], [*ts, t])
+            for t, cost in enumerate(row, -1):
+                if s + t not in nxt or c + cost < nxt[s + t][0]:
+                    nxt[s + t] = (c + cost, [*ts, t])
         best = nxt
     return best[need][1]
 
@@ -165,10 +164,12 @@ def links(vertices: DataFrame, distance: int = DISTANCE, block: int = BLOCK) ->
     parts = partitions(bit_counts(vertices), n, m)
     full = [signed(sum(1 << b for b in p)) for p in parts]
     own = F.explode(F.array(*[F.struct(F.lit(i).alias("i"), F.col("fp").bitwiseAND(F.lit(x)).alias("key")) for i, x in enumerate(full)]))
-    counts: list[dict[int, int]] = [{} for _ in parts]
-    for r in vertices.select(own.alias("o")).groupBy("o.i", "o.key").count().toLocalIterator():
-        counts[r[0]][r[1] % (1 << 64)] = r[2]
-    ts = allocate(parts, counts, distance)
+    counts = cut(vertices.select(own.alias("o")).groupBy("o.i", "o.key").agg(F.count(F.lit(1)).alias("n")))
+    costs = []
+    for i, bits in enumerate(parts):  # at most 2^22 values of one partition are on the driver at a time, as arrays
+        rows = counts.where(F.col("i") == i).select("key", "n").toArrow()
+        costs.append(probe_costs(bits, rows.column("key").to_numpy().view("u8"), rows.column("n").to_numpy().astype("f8"), min(distance, 2)))
+    ts = allocate(costs, distance)
     buckets = []
     for i, t in enumerate(ts):
         if t >= 0:
@@ -237,5 +238,6 @@ def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", di
 
 
 def op4_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """simhash_groups() over all documents; null, empty and blank texts have the fingerprint zero, an empty table no row."""
     out = simhash_groups(table(spark, sf_dir, "documents"))
     return out.select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")

@@ -189,4 +189,5 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 
 
 def op5_sampling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """fingerprints() over all documents; null texts are empty, an empty table gives no row."""
     return fingerprints(table(spark, sf_dir, "documents"))

@@ -19,7 +19,7 @@ from math import gcd
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from foliary.llm.common import cut, md5_int, table
+from foliary.llm.common import copies, cut, md5_int, table
 
 BLOCK = 16
 SHARDS = 8
@@ -56,16 +56,19 @@ def sainte_lague(target: list[float], seats: int, most: list[int]) -> list[int]:
     got = [min(m, int(t * seats / total + 0.5)) if total else 0 for t, m in zip(target, most, strict=True)]
     more = [(-t / (2 * g + 1), i) for i, (t, g, m) in enumerate(zip(target, got, most, strict=True)) if t and g < m]
     heapq.heapify(more)
-    while sum(got) < seats and more:
+    have = sum(got)
+    while have < seats and more:
         i = heapq.heappop(more)[1]
         got[i] += 1
+        have += 1
         if got[i] < most[i]:
             heapq.heappush(more, (-target[i] / (2 * got[i] + 1), i))
     less = [(target[i] / (2 * g - 1), -i) for i, g in enumerate(got) if g]
     heapq.heapify(less)
-    while sum(got) > seats:
+    while have > seats:
         i = -heapq.heappop(less)[1]
         got[i] -= 1
+        have -= 1
         if got[i]:
             heapq.heappush(less, (target[i] / (2 * got[i] - 1), -i))
     return got
@@ -97,7 +100,8 @@ def streams(docs: DataFrame, id_col: str, text_col: str, source_col: str, seed:
     spark = docs.sparkSession
     rows = docs.select(F.col(id_col).alias("doc_id"), F.col(source_col).alias("source"), words(F.col(text_col)).alias("size"))
     keyed = cut(rows.groupBy("doc_id", "source", "size").agg(F.count(F.lit(1)).alias("n")))
-    subs = max(1, -(-keyed.count() // BUCKET))
+    count, most = keyed.agg(F.count(F.lit(1)), F.coalesce(F.max("n"), F.lit(0))).first()
+    subs = max(1, -(-count // BUCKET))
     h = md5_int(F.concat(F.lit(f"{seed}:"), F.coalesce(F.col("doc_id").cast("string"), F.lit("none"))))
     keyed = keyed.withColumn("h", h).withColumn("sub", F.pmod("h", F.lit(subs)).cast("int"))
     sums = cut(keyed.groupBy("source", "sub").agg(F.sum(F.col("size") * F.col("n")).alias("words")))
@@ -108,7 +112,7 @@ def streams(docs: DataFrame, id_col: str, text_col: str, source_col: str, seed:
     within = Window.partitionBy("source", "sub").orderBy("h", "doc_id", "size").rowsBetween(Window.unboundedPreceding, -1)
     at = keyed.withColumn("o", F.coalesce(F.sum(F.col("size") * F.col("n")).over(within), F.lit(0)))
     at = at.join(offsets, F.col("source").eqNullSafe(F.col("s")) & (F.col("sub") == F.col("t")))
-    each = at.withColumn("copy", F.explode(F.sequence(F.lit(0).cast("long"), F.col("n") - 1))).withColumn("o", F.col("offset") + F.col("o") + F.col("copy") * F.col("size"))
+    each = copies(at, "n", "copy", "h", most).withColumn("o", F.col("offset") + F.col("o") + F.col("copy") * F.col("size"))
     side = F.broadcast(planned) if len(sizes) <= BROADCAST_SOURCES else planned.hint("merge")
     return each.join(side, F.col("source").eqNullSafe(F.col("of"))).drop("of", "s", "t", "sub", "h", "n", "copy", "offset")
 
@@ -174,6 +178,7 @@ def mixed_rows(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
 
 def op6_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """mix() over all documents; null and blank texts have size 0 and nothing taken, an empty table gives no row."""
     return mix(table(spark, sf_dir, "documents")).drop("source")
 
 

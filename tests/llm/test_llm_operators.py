@@ -298,7 +298,9 @@ def test_threshold_allocation_is_complete():
     for m in (3, 4, 5):
         parts = op4_simhash.partitions(np.eye(64), 1, m)
         assert sorted(b for p in parts for b in p) == list(range(64))
-    ts = op4_simhash.allocate(op4_simhash.partitions(np.eye(64), 1, 4), [{1: 5}] * 4, 4)
+    costs = [op4_simhash.probe_costs(p, np.array([0, 1 << p[0]], "u8"), np.array([5.0, 2.0]), 2) for p in op4_simhash.partitions(np.eye(64), 1, 4)]
+    assert costs[0][1] == (25 + 4) / 2 + 20 * 7 and costs[0][2] == (5 * 7 + 2 * 7) / 2 + 20 * 7 * 17
+    ts = op4_simhash.allocate(costs, 4)
     assert sum(t + 1 for t in ts) == 5
 
 
@@ -715,3 +717,17 @@ def test_split_points_bound_the_ranges(spark):
     assert 5 <= len(p) <= 10 and split_points(ids.limit(0)) == []
     n = pd.Series(np.searchsorted(p, np.arange(10_000), "right")).value_counts()
     assert n.max() < 2000
+
+
+def test_copies_in_chunks(spark):
+    df = spark.createDataFrame([(1, 5), (2, 1), (None, 12)], "id bigint, n bigint")
+    for most in (12, 2):
+        r = common.copies(df, "n", "i", "id", most, chunk=4).collect()
+        assert sorted((str(x.id), x.i) for x in r) == sorted((str(i), k) for i, n in ((1, 5), (2, 1), (None, 12)) for k in range(n))
+
+
+def test_vocabularies_of_any_size():
+    counts = np.arange(1, 70_001)
+    length = huffman.lengths(counts)
+    ids = np.random.default_rng(1).integers(0, 70_000, 3000)
+    assert length.max() <= 18 and (huffman.decode(huffman.encode(ids, huffman.packed(length), 0), *huffman.table(length))[1] == ids).all()
