@@ -6,10 +6,12 @@ a backend sees them, because no optimizer moves a filter below an opaque functio
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Callable, Iterator
 from typing import Protocol
 
 import pandas as pd
+from pyspark import StorageLevel, cloudpickle
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -32,15 +34,35 @@ class EchoOcr:
         return pd.DataFrame({"text": [bytes(x).decode("utf-8", "replace") if x is not None else "" for x in batch["image"]], "confidence": self.confidence})
 
 
-_built: dict[int, Backend] = {}
+_built: dict[str, object] = {}
 
 
-def recognized(rows: DataFrame, make: Callable[[], Backend], key: list[str], token: int = 0) -> DataFrame:
+def identity(make: Callable) -> str:
+    """The same for factories that build the same."""
+    return hashlib.sha256(cloudpickle.dumps(make)).hexdigest()
+
+
+def built(make: Callable, of: str):
+    """A model of its factory, built once per worker."""
+    if of not in _built:
+        _built[of] = make()
+    return _built[of]
+
+
+def once(results: DataFrame) -> DataFrame:
+    """What a model has found, kept for several readers: in the folder for checkpoints where one is set, else on the
+    executors' disks. Models are dear, so nothing of theirs is computed twice."""
+    if results.sparkSession.sparkContext.getCheckpointDir():
+        return results.checkpoint()
+    return results.persist(StorageLevel.DISK_ONLY)
+
+
+def recognized(rows: DataFrame, make: Callable[[], Backend], key: list[str]) -> DataFrame:
     """(key, text, confidence) of rows (key, image), in Arrow batches."""
-    types = dict(rows.dtypes)
+    types, of = dict(rows.dtypes), identity(make)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        backend = _built.setdefault(token, make())
+        backend = built(make, of)
         for b in batches:
             yield pd.concat([b[key].reset_index(drop=True), backend.predict(b).reset_index(drop=True)], axis=1)
 
@@ -60,7 +82,7 @@ def text_only_pages(pages: DataFrame, make: Callable[[], Backend], key: list[str
 def formula_chain(formulas: DataFrame, first: Callable[[], Backend], second: Callable[[], Backend], key: list[str], config: EngineConfig = DEFAULT) -> DataFrame:
     """(key, latex, confidence, backend): seeds are kept; the first model reads the others, the second what the first leaves."""
     todo = formulas.where(F.coalesce(F.col("seed_latex"), F.lit("")) == "")
-    one = recognized(todo, first, key, 1).select(*key, F.col("text").alias("first_latex"), F.col("confidence").alias("first_confidence"))
+    one = once(recognized(todo, first, key)).select(*key, F.col("text").alias("first_latex"), F.col("confidence").alias("first_confidence"))
     left = todo.join(one.where((F.col("first_latex") != "") & (F.col("first_confidence") >= config.formula_confidence)), key, "left_anti")
-    two = recognized(left, second, key, 2).select(*key, F.col("text").alias("second_latex"))
+    two = recognized(left, second, key).select(*key, F.col("text").alias("second_latex"))
     return formulas.join(one, key, "left").join(two, key, "left").select(*key, chosen_formula(config).alias("f")).select(*key, "f.*")

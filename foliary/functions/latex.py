@@ -12,8 +12,10 @@ ESCAPES = {
     "\\": "\\textbackslash{}", "&": "\\&", "%": "\\%", "$": "\\$", "#": "\\#",
     "_": "\\_", "{": "\\{", "}": "\\}", "~": "\\textasciitilde{}", "^": "\\textasciicircum{}",
 }
+#: Delimiters of math around a whole, in the order in which they are looked for.
 WRAPPERS = [("\\[", "\\]"), ("$$", "$$"), ("\\(", "\\)"), ("$", "$")]
 MATH = r"(?is)<math\b[^>]*>(.*?)</math>"
+#: Packages of every document.
 PREAMBLE = ["\\usepackage[utf8]{inputenc}", "\\usepackage[T2A]{fontenc}", "\\usepackage[russian,english]{babel}", "\\usepackage{amsmath}", "\\usepackage{amssymb}"]
 TAG = r"<[^>]+>"
 
@@ -60,8 +62,9 @@ def escape_latex(c: Column) -> Column:
     return let(c, lambda x: F.when(F.contains(x, F.lit(MARK)), by_character(x)).otherwise(by_replacement(x)))
 
 
-def unwrap(c: Column, rounds: int = 8) -> Column:
-    """Math delimiters around the whole taken off, again and again; `rounds` levels of nesting at most."""
+def unwrap(c: Column) -> Column:
+    """Math delimiters around the whole taken off, again and again until none is left."""
+    opened = F.length(F.regexp_extract(c, r"^(?:\s|\$|\\[(\[])*", 0))  # as many levels at most
 
     def once(acc: Column) -> Column:
         out = acc
@@ -70,7 +73,7 @@ def unwrap(c: Column, rounds: int = 8) -> Column:
             out = F.when(inside, strip(F.substring(acc, F.lit(len(left) + 1), F.length(acc) - len(left) - len(right)))).otherwise(out)
         return F.when(acc.isin([x for w in WRAPPERS for x in w]), F.lit("")).otherwise(out)
 
-    return F.aggregate(F.sequence(F.lit(1), F.lit(rounds)), strip(c), lambda acc, _: once(acc))
+    return F.aggregate(F.sequence(F.lit(0), opened), strip(c), lambda acc, _: once(acc))
 
 
 def clean_latex(c: Column) -> Column:

@@ -113,8 +113,7 @@ def html_unescape(c: Column, every: bool = False) -> Column:
 
 
 def strip_mathml(c: Column, every: bool = False) -> Column:
-    tags = "|".join(sorted(MATHML_TAGS, key=len, reverse=True))
-    return sub(sub(html_unescape(c, every), rf"(?i)</?(?:{'|'.join(MATHML_TAGS)}|{tags})[^>]*>"), r"[ \t]{2,}", " ")
+    return sub(sub(html_unescape(c, every), rf"(?i)</?(?:{'|'.join(MATHML_TAGS)})[^>]*>"), r"[ \t]{2,}", " ")
 
 
 #: Stands for a protected span; a letter to the patterns above, and removed from texts that have it themselves.

@@ -232,7 +232,7 @@ def phrase_weights(title: Column, corpus: Column) -> Column:
     """Array of (phrase, weight, ordinal): title n-grams weigh 10 - n, those of the corpus and its tokens 1 each."""
 
     def weighed(phrases: Column, weight: int, group: int) -> Column:
-        return F.transform(phrases, lambda x, i: F.struct(x.alias("phrase"), F.lit(weight).alias("weight"), (i + group * 1_000_000).alias("ordinal")))
+        return F.transform(phrases, lambda x, i: F.struct(x.alias("phrase"), F.lit(weight).alias("weight"), (i.cast("long") + F.lit(group << 40)).alias("ordinal")))
 
     def made(t: Column, c: Column) -> Column:
         groups = [(ngrams(t, 3), 7), (ngrams(t, 2), 8), (ngrams(c, 2), 1), (ngrams(c, 3), 1), (c, 1)]
@@ -243,20 +243,42 @@ def phrase_weights(title: Column, corpus: Column) -> Column:
 
 def keyword_scores(articles: DataFrame, key: list[str], title: Column, corpus: Column) -> DataFrame:
     """(key, phrase, score, first_seen): weights summed up per phrase."""
-    p = articles.select(*key, F.explode(phrase_weights(title, corpus)).alias("p"))
-    return p.groupBy(*key, F.col("p.phrase").alias("phrase")).agg(F.sum("p.weight").alias("score"), F.min("p.ordinal").alias("first_seen"))
+    return articles.select(*key, F.explode(summed(phrase_weights(title, corpus))).alias("p")).select(*key, "p.*")
+
+
+def summed(weights: Column) -> Column:
+    """Array of (phrase, score, first_seen): weights summed up per phrase within the row, so a text is never shuffled."""
+
+    def runs(a: Column) -> Column:
+        first = lambda i: (i == 0) | (F.get(a, i)["phrase"] != F.get(a, i - 1)["phrase"])
+        begins = F.filter(F.transform(a, lambda _, i: i), first)
+
+        def one(b: Column, starts: Column, k: Column) -> Column:
+            own = F.slice(a, b + 1, F.coalesce(F.get(starts, k + 1), F.size(a)) - b)
+            score = F.aggregate(own, F.lit(0).cast("long"), lambda acc, x: acc + x["weight"])
+            return F.struct(F.get(a, b)["phrase"].alias("phrase"), score.alias("score"), F.array_min(F.transform(own, lambda x: x["ordinal"])).alias("first_seen"))
+
+        return let(begins, lambda starts: F.transform(starts, lambda b, k: one(b, starts, k)))
+
+    return let(F.sort_array(weights), runs)
 
 
 def chosen_keywords(scores: DataFrame, key: list[str], best: int = 20, take: int = 5) -> DataFrame:
     """Of the best phrases, in order, those that neither hold nor are held by one taken before."""
-    ranked = scores.groupBy(*key).agg(F.slice(F.array_sort(F.collect_list(F.struct((-F.col("score")).alias("s"), "first_seen", "phrase"))), 1, best).alias("top"))
+    each = F.collect_list(F.struct("phrase", "score", "first_seen"))
+    return scores.groupBy(*key).agg(each.alias("p")).select(*key, chosen(F.col("p"), best, take).alias("keywords"))
+
+
+def chosen(scored: Column, best: int = 20, take: int = 5) -> Column:
+    """The same of an array of (phrase, score, first_seen)."""
+    top = F.slice(F.sort_array(F.transform(scored, lambda x: F.struct((-x["score"]).alias("s"), x["first_seen"].alias("first_seen"), x["phrase"].alias("phrase")))), 1, best)
 
     def step(acc: Column, x: Column) -> Column:
         p = x["phrase"]
         skip = (F.size(acc) >= take) | p.isin(STOP_KEYWORDS) | F.exists(acc, lambda o: F.contains(o, p) | F.contains(p, o))
         return F.when(skip, acc).otherwise(F.concat(acc, F.array(p)))
 
-    return ranked.select(*key, F.aggregate("top", F.array().cast(STRINGS), step).alias("keywords"))
+    return F.aggregate(top, F.array().cast(STRINGS), step)
 
 
 def reference_entries(lines: Column) -> Column:
@@ -350,8 +372,7 @@ def extract_metadata(articles: DataFrame, key: list[str], blocks: Column | None
     """The whole of it for articles (key, article_text, title): one row each, keywords by heuristics where none are listed."""
     found = metadata_columns(articles, blocks)
     corpus = F.concat_ws(" ", filled_(F.col("title")), filled_(F.col("abstract")), filled_(F.substring("article_text", 1, 1200)))
-    chosen = chosen_keywords(keyword_scores(found.where(F.col("listed_keywords").isNull()), key, F.col("title"), corpus), key)
-    return assembled(found.join(chosen, key, "left"))
+    return assembled(found.withColumn("keywords", F.when(F.col("listed_keywords").isNull(), chosen(summed(phrase_weights(F.col("title"), corpus))))))
 
 
 def filled_(c: Column) -> Column:

@@ -14,7 +14,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from foliary.backends import Backend, text_only_pages
+from foliary.backends import Backend, built, identity, once, text_only_pages
 from foliary.config import DEFAULT, PROCESSING_MODES, EngineConfig
 from foliary.functions.geometry import clamp
 from foliary.operators import layout, pages, routing, segment
@@ -39,9 +39,10 @@ class LineLayout:
 
 def found_blocks(images: DataFrame, make: Callable[[], LayoutBackend]) -> DataFrame:
     """FOUND of images (document_id, page_number, image). A page that fails is one row with its error."""
+    of = identity(make)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        backend = make()
+        backend = built(make, of)
         names = [c.split()[0] for c in FOUND.split(", ")]
         for b in batches:
             rows = []
@@ -59,7 +60,7 @@ def found_blocks(images: DataFrame, make: Callable[[], LayoutBackend]) -> DataFr
 
 def layout_content(images: DataFrame, make: Callable[[], LayoutBackend], width: int, height: int, config: EngineConfig = DEFAULT) -> DataFrame:
     """Processed blocks of pages: recognised, cleaned up, routed, with content and review flags."""
-    found = found_blocks(images, make).where("error IS NULL")
+    found = once(found_blocks(images, make)).where("error IS NULL")
     b = found.withColumn("bbox", clamp(box(*[F.col(c) for c in ("x1", "y1", "x2", "y2")]), F.lit(width), F.lit(height))).withColumn("type", routing.block_type(F.col("label")))
     b = b.withColumn("reading_order", layout.position(F.col("place"), F.col("place"))).withColumn("block_id", F.format_string("%06d", "place"))
     done = layout.postprocessed(b, KEY, width, height)

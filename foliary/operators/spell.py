@@ -33,6 +33,13 @@ def mixed(token: Column) -> Column:
     return token.rlike(f"[{LETTERS}]") & token.rlike("[0-9]")
 
 
+def swapped(a: Column, b: Column) -> Column:
+    """Whether two neighbouring letters of the one, changed over, give the other; that is one edit."""
+    turn = lambda i: F.concat(F.substring(a, F.lit(1), i - 1), F.substring(a, i + 1, F.lit(1)), F.substring(a, i, F.lit(1)), F.substring(a, i + 2, F.length(a)))
+    places = F.when((F.length(a) == F.length(b)) & (F.length(a) > 1) & (a != b), F.sequence(F.lit(1), F.length(a) - 1)).otherwise(F.array().cast("array<int>"))
+    return F.exists(places, lambda i: turn(i) == b)
+
+
 def candidates(words: DataFrame, lexicon: DataFrame, config: EngineConfig = DEFAULT, limit: int = 5) -> DataFrame:
     """(token, candidate, score, frequency, method) for distinct lower-case unknown words of min_token_length or more.
 
@@ -44,7 +51,7 @@ def candidates(words: DataFrame, lexicon: DataFrame, config: EngineConfig = DEFA
     t = config.fuzzy_threshold / 100.0
     lengths = F.sequence(F.least(F.col("n") - config.max_edit_distance, F.floor(F.col("n") * t / (2 - t)).cast("int")), F.greatest(F.col("n") + config.max_edit_distance, F.ceil(F.col("n") * (2 - t) / t).cast("int")))
     near = unknown.withColumn("m", F.explode(lengths)).join(lexicon.withColumn("m", F.length("word")), "m")
-    near = near.withColumn("d", F.levenshtein("token", "word"))
+    near = near.withColumn("d", F.when(swapped(F.col("token"), F.col("word")), 1).otherwise(F.levenshtein("token", "word")))
     by_edit = near.where(F.col("d") <= config.max_edit_distance)
     closest = Window.partitionBy("token")
     by_edit = by_edit.withColumn("low", F.min("d").over(closest)).where("d = low").select("token", F.col("word").alias("candidate"), (100.0 - F.col("d") * 10).alias("score"), "frequency", F.lit("edit").alias("method"))

@@ -13,7 +13,7 @@ from foliary.functions import latex as lx
 from foliary.functions import text as t
 from foliary.operators import articles, export, layout, metadata, metrics, pages, process, routing, segment, spell
 from foliary.plans import sqltext as s
-from foliary.plans.fixtures import fixture, values
+from foliary.plans.fixtures import _literal, fixture, values
 from foliary.schemas import box
 from foliary.sources import ingest, views
 from foliary.streaming import progress
@@ -35,6 +35,13 @@ def query(sql: str | None = None) -> Callable[[Query], Query]:
     return add
 
 
+def expected(schema: str, rows: list[tuple]) -> str:
+    """Worked examples as SQL: for rules over small fixtures that SQL itself cannot express."""
+    fields = [f.split(" ") for f in schema.split(", ")]
+    cast = ", ".join(f"CAST({n} AS {kind}) AS {n}" for n, kind in fields)
+    return f"SELECT {cast} FROM (VALUES {', '.join('(' + ', '.join(_literal(v) for v in r) + ')' for r in rows)}) AS t({', '.join(n for n, _ in fields)})"
+
+
 def docs(spark: SparkSession, d: str) -> DataFrame:
     return views.table(spark, d, "documents")
 
@@ -99,7 +106,25 @@ def text_latex(spark, d):
     return docs(spark, d).select("doc_id", lx.text_to_latex(F.col("text")).alias("latex"))
 
 
-@query()
+@query(
+    expected(
+        "id INTEGER, latex VARCHAR, cleaned VARCHAR, compare_key VARCHAR, formula VARCHAR, short VARCHAR, unwrapped VARCHAR",
+        [
+            (1, '50\\% \\& more\\_less \\#1 \\{a\\} \\textasciitilde{} \\textasciicircum{} \\textbackslash{} \\$5', '50% & more_less #1 {a} ~ ^ \\ $5', '50% & more_less #1 {a} ~ ^ \\ $5', '50% & more_less #1 {a} ~ ^ \\ $5', '50\\% \\& more\\_less \\#1 \\{a\\} \\textasciitilde{} \\textasciicircum{} \\\\ \\$5', '50% & more_less #1 {a} ~ ^ \\ $5'),
+            (2, 'plain', 'plain', 'plain', 'plain', 'plain', 'plain'),
+            (3, 'energy $E = mc^2$ is \\& was', 'energy E = mc^2 is & was', 'energy e = mc^2 is & was', 'energy <math>E = mc^2</math> is & was', 'energy <math>E = mc\\textasciicircum{}2</math> is \\& was', 'energy E = mc^2 is & was'),
+            (4, '$a+b$', 'a+b', '\\( a+b \\)', "<math display='inline'>\\( a+b \\)</math>", "<math display='inline'>\\\\( a+b \\\\)</math>", '\\( a+b \\)'),
+            (5, '\\& x', '&amp; x', '&amp; x', '&lt;b&gt; &amp;amp; x', '\\&lt;b\\&gt; \\&amp;amp; x', '&lt;b&gt; &amp;amp; x'),
+            (6, '\\textbackslash{}[ \\textbackslash{}alpha \\textbackslash{}]', '\\alpha', '\\[ \\alpha \\]', '\\[ \\alpha \\]', '\\\\[ \\\\alpha \\\\]', '\\[ \\alpha \\]'),
+            (7, '\\$\\$ \\$y\\$ \\$\\$', 'y', '$$ $y$ $$', '$$ $y$ $$', '\\$\\$ \\$y\\$ \\$\\$', '$$ $y$ $$'),
+            (8, '\\textbackslash{}( \\$z\\$ \\textbackslash{})', 'z', '\\( $z$ \\)', '\\( $z$ \\)', '\\\\( \\$z\\$ \\\\)', '\\( $z$ \\)'),
+            (9, '', '', '', None, '', ''),
+            (10, '', '', '', None, '', ''),
+            (11, 'tag two spaces', 'tag two spaces', 'tag two spaces', '<p>tag</p> two spaces', '<p>tag</p>  two  spaces', '<p>tag</p> two spaces'),
+            (12, '\\$', '', '$', '$', '\\$', '$'),
+        ],
+    )
+)
 def latex_functions(spark, d):
     """Inline MathML, nested delimiters and entities; tests hold it against worked examples."""
     c = F.col("text")
@@ -471,9 +496,30 @@ def author_like_variants(spark, d):
     return fixture(spark, "authors").select("id", metadata.author_like_head(F.col("line")).alias("head"), metadata.author_like_reader(F.col("line")).alias("reader"))
 
 
-@query()
+@query(
+    expected(
+        "id INTEGER, authors VARCHAR",
+        [
+            (1, 'A. B. Smith|C. Jones'),
+            (2, 'John Smith|Mary Jones'),
+            (3, 'Иванов И. И|Петров П. П'),
+            (4, 'Ivanov I. I.'),
+            (5, 'see page 5'),
+            (6, 'write to a@b.org'),
+            (7, 'ABSTRACT'),
+            (8, 'Keywords: x'),
+            (9, 'john smith'),
+            (10, ''),
+            (11, ''),
+            (12, 'John Ronald Reuel Tolkien'),
+            (13, 'One Two Three Four Five Six'),
+            (14, 'Иванов и Петров'),
+            (15, 'x = y, A. Author'),
+        ],
+    )
+)
 def authors_split(spark, d):
-    return fixture(spark, "authors").select("id", metadata.split_authors(t.text_of(F.col("line"))).alias("authors"))
+    return fixture(spark, "authors").select("id", F.array_join(metadata.split_authors(t.text_of(F.col("line"))), "|").alias("authors"))
 
 
 LANG_SQL = f"""l AS (SELECT {{k}}, lower(coalesce(text, '')) AS c FROM {{src}}), n AS (SELECT {{k}}, c, length(c) - length({s.rx('c', '[а-яё]')}) AS cyr, length(c) - length({s.rx('c', '[a-z]')}) AS lat,
@@ -492,23 +538,58 @@ def language_detect_scripts(spark, d):
     return fixture(spark, "articles").select("id", metadata.language(F.col("text")).alias("l")).select("id", "l.*")
 
 
-@query()
+@query(
+    expected(
+        "id INTEGER, title VARCHAR, authors VARCHAR, year INTEGER, abstract VARCHAR, keywords VARCHAR, n_references INTEGER",
+        [
+            (1, 'О сходимости рядов', 'А. И. Иванов', 1910, 'В работе показано, что ряд сходится.', 'ряды|сходимость|анализ', 2),
+            (2, 'On the Theory of Series', 'J. Smith', 1924, 'We show that series converge under mild conditions.', None, 0),
+            (3, 'Body without any author or year.', '', None, None, None, 0),
+            (4, 'An article without sections but with plenty of english words in it', '', None, None, 'alpha|beta|Gamma', 0),
+            (5, None, '', None, None, None, 0),
+            (6, None, '', None, None, None, 0),
+            (7, 'Smith J. Old paper. 1899', '', None, None, None, 2),
+            (8, 'а и в не на с по', '', None, None, None, 0),
+        ],
+    )
+)
 def article_fields(spark, d):
     """Title, authors, year, abstract, listed keywords and references of worked examples; tests hold them to expected values."""
     c = F.col("text")
     return fixture(spark, "articles").select(
-        "id", metadata.title_from_head(c).alias("title"), metadata.authors_from_lines(metadata.head_lines(c, 8), metadata.title_from_head(c)).alias("authors"), metadata.year(c).alias("year"),
-        metadata.section(c, metadata.ABSTRACT, [metadata.KEYWORDS, metadata.REFERENCES]).alias("abstract"), metadata.listed_keywords(c).alias("keywords"), F.size(metadata.references(c)).alias("n_references"),
+        "id", metadata.title_from_head(c).alias("title"), F.array_join(metadata.authors_from_lines(metadata.head_lines(c, 8), metadata.title_from_head(c)), "|").alias("authors"), metadata.year(c).alias("year"),
+        metadata.section(c, metadata.ABSTRACT, [metadata.KEYWORDS, metadata.REFERENCES]).alias("abstract"), F.array_join(metadata.listed_keywords(c), "|").alias("keywords"), F.size(metadata.references(c)).alias("n_references"),
     )
 
 
-@query()
+@query(
+    expected(
+        "id INTEGER, raw_text VARCHAR, authors VARCHAR, title VARCHAR, year INTEGER",
+        [
+            (1, 'Петров П. П. Теория рядов. Москва, 1909.', '', 'Петров П', 1909),
+            (1, 'Сидоров С. С. «Анализ функций». Казань, 1908.', 'Сидоров С. С', 'Анализ функций', 1908),
+            (7, 'Smith J. Old paper. 1899 with a second line', '', 'Smith J', 1899),
+            (7, 'Brown B. New paper. 1901', '', 'Brown B', 1901),
+        ],
+    )
+)
 def references_split(spark, d):
     f = fixture(spark, "articles").select("id", F.explode(metadata.references(F.col("text"))).alias("r"))
     return f.select("id", "r.raw_text", F.array_join("r.authors", "|").alias("authors"), "r.title", "r.year")
 
 
-@query()
+@query(
+    expected(
+        "id INTEGER, raw_text VARCHAR, authors VARCHAR, title VARCHAR, year INTEGER",
+        [
+            (1, 'Ivanov I. I. Theory of sets. Moscow, 1909.', '', 'Ivanov I', 1909),
+            (2, 'Smith J. “On numbers”. London, 1910', 'Smith J', 'On numbers', 1910),
+            (3, 'Anonymous work without a date', '', 'Anonymous work without a date', None),
+            (4, 'Petrov P., Sidorov S. «Ряды». 1899', 'Petrov P., Sidorov S', 'Ряды', 1899),
+            (5, '', '', None, None),
+        ],
+    )
+)
 def reference_parse(spark, d):
     return fixture(spark, "references").select("id", metadata.parsed_reference(F.col("entry")).alias("r")).select("id", "r.raw_text", F.array_join("r.authors", "|").alias("authors"), "r.title", "r.year")
 
@@ -544,8 +625,9 @@ def _grams_sql(t: str, n: int, weight: int, group: int) -> str:
 )
 def keyword_topk(spark, d):
     """Greedy choice over ranked phrases: none that holds or is held by one taken before."""
-    scores = metadata.keyword_scores(docs(spark, d), ["doc_id"], F.substring(F.coalesce(F.get(t.nonempty(t.split_lines(F.col("text"))), F.lit(0)), F.lit("")), 1, 240), F.substring("text", 1, 1200))
-    return metadata.chosen_keywords(scores, ["doc_id"]).select("doc_id", F.array_join("keywords", "|").alias("keywords"))
+    title = F.substring(F.coalesce(F.get(t.nonempty(t.split_lines(F.col("text"))), F.lit(0)), F.lit("")), 1, 240)
+    scored = metadata.summed(metadata.phrase_weights(title, F.substring("text", 1, 1200)))
+    return docs(spark, d).select("doc_id", scored.alias("p")).where(F.size("p") > 0).select("doc_id", F.array_join(metadata.chosen(F.col("p")), "|").alias("keywords"))
 
 
 @query(
@@ -607,7 +689,7 @@ LEX_SQL = "lex AS (SELECT * FROM (VALUES " + ", ".join(f"({s.q(w)}, {n})" for w,
 
 
 @query(
-    f"""WITH {values('words')}, {LEX_SQL}, p AS (SELECT token, word, frequency, levenshtein({BYTES.replace('{e}', 'token')}, {BYTES.replace('{e}', 'word')}) AS d FROM (SELECT DISTINCT token FROM fx WHERE length(token) >= 4 AND token NOT IN (SELECT word FROM lex)) u, lex)
+    f"""WITH {values('words')}, {LEX_SQL}, p AS (SELECT token, word, frequency, CASE WHEN damerau_levenshtein({BYTES.replace('{e}', 'token')}, {BYTES.replace('{e}', 'word')}) = 1 THEN 1 ELSE levenshtein({BYTES.replace('{e}', 'token')}, {BYTES.replace('{e}', 'word')}) END AS d FROM (SELECT DISTINCT token FROM fx WHERE length(token) >= 4 AND token NOT IN (SELECT word FROM lex)) u, lex)
     SELECT token, word AS candidate, CAST(100 - d * 10 AS DOUBLE) AS score, frequency FROM (SELECT *, min(d) OVER (PARTITION BY token) AS low FROM p WHERE d <= 2) WHERE d = low"""
 )
 def spell_edit_candidates(spark, d):
@@ -618,7 +700,18 @@ def spell_edit_candidates(spark, d):
     return found.where("method = 'edit'").select("token", "candidate", "score", "frequency")
 
 
-@query()
+@query(
+    expected(
+        "token VARCHAR, suggestions VARCHAR, best VARCHAR, best_method VARCHAR",
+        [
+            ('журнял', 'журнал', 'журнал', 'edit'),
+            ('интегралл', 'интеграл', 'интеграл', 'ratio'),
+            ('статяь', 'статья', 'статья', 'edit'),
+            ('теорня', 'теория', 'теория', 'edit'),
+            ('функцня', 'функция', 'функция', 'edit'),
+        ],
+    )
+)
 def spell_candidates(spark, d):
     found = spell.candidates(fixture(spark, "words"), _lexicon(spark))
     return spell.suggestions(found).select("token", F.array_join("suggestions", "|").alias("suggestions"), "best", "best_method")
@@ -633,7 +726,25 @@ def suspicious_tokens(spark, d):
     return k.groupBy("doc_id").agg(F.count_if(spell.mixed(F.col("k.value"))).alias("mixed"), F.count_if(F.length("k.value") >= 4).alias("long_words"))
 
 
-@query()
+@query(
+    expected(
+        "id INTEGER, cleaned_text VARCHAR, corrections VARCHAR, suspicious VARCHAR, needs_review BOOLEAN",
+        [
+            (1, 'ab\u200bc word', '[]', '[{"token_index":4,"token":"word","reason":"unknown_token","suggestions":[]}]', True),
+            (2, 'line one\nline two', '[]', '[{"token_index":0,"token":"line","reason":"unknown_token","suggestions":[]},{"token_index":4,"token":"line","reason":"unknown_token","suggestions":[]}]', True),
+            (3, '�� text ■', '[]', '[{"token_index":3,"token":"text","reason":"unknown_token","suggestions":[]}]', True),
+            (4, 'теоремы и доказательство', '[{"token_index":0,"original":"теорема","corrected":"теоремы","reason":"edit"}]', '[{"token_index":4,"token":"доказательство","reason":"unknown_token","suggestions":[]}]', True),
+            (5, 'a (b), c; d.', '[]', '[]', False),
+            (6, '[x] {y} z', '[]', '[]', False),
+            (7, '', '[]', '[]', False),
+            (8, '', '[]', '[]', False),
+            (9, 'two spaces\tand\ttabs', '[]', '[{"token_index":2,"token":"spaces","reason":"unknown_token","suggestions":[]},{"token_index":6,"token":"tabs","reason":"unknown_token","suggestions":[]}]', True),
+            (10, 'dash - em - "quoted" \'single\'...', '[]', '[{"token_index":0,"token":"dash","reason":"unknown_token","suggestions":[]},{"token_index":9,"token":"quoted","reason":"unknown_token","suggestions":[]},{"token_index":13,"token":"single","reason":"unknown_token","suggestions":[]}]', True),
+            (11, 'a b\n\nc\nd', '[]', '[]', False),
+            (12, '$x - y$ and <<FORMULA_1>> stay, here', '[]', '[{"token_index":6,"token":"stay","reason":"unknown_token","suggestions":[]},{"token_index":9,"token":"here","reason":"unknown_token","suggestions":[]}]', True),
+        ],
+    )
+)
 def text_postprocess(spark, d):
     out = spell.postprocess(fixture(spark, "noisy"), "id", "text", _lexicon(spark))
     return out.select("id", "cleaned_text", F.to_json("corrections").alias("corrections"), F.to_json("suspicious").alias("suspicious"), "needs_review")
@@ -723,7 +834,19 @@ def upload_validation(spark, d):
     return fixture(spark, "uploads").select("id", ingest.upload_error(*c).alias("pdf_error"), ingest.upload_error(*c, kind="image").alias("image_error"))
 
 
-@query()
+@query(
+    expected(
+        "id INTEGER, place INTEGER, block_id VARCHAR, error VARCHAR",
+        [
+            (1, 0, 'a', None),
+            (2, 0, None, 'not_an_array'),
+            (3, 0, 'b', 'invalid_block'),
+            (4, 0, 'c', 'invalid_block'),
+            (4, 1, 'd', 'invalid_block'),
+            (5, None, None, None),
+        ],
+    )
+)
 def payload_parse(spark, d):
     return ingest.parsed_blocks(fixture(spark, "payloads"), "id").select("id", "place", "block.block_id", "error")
 
