@@ -16,7 +16,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from foliary.config import DEFAULT, EngineConfig
-from foliary.operators.routing import chosen_formula, enough_text, meaningful
+from foliary.functions.text import clean_ocr, text_of
+from foliary.operators.routing import best_candidate, chosen_formula, enough_text, meaningful
 
 
 class Backend(Protocol):
@@ -69,14 +70,23 @@ def recognized(rows: DataFrame, make: Callable[[], Backend], key: list[str]) ->
     return rows.select(*key, "image").mapInPandas(run, ", ".join(f"{k} {types[k]}" for k in key) + ", text string, confidence double")
 
 
-def text_only_pages(pages: DataFrame, make: Callable[[], Backend], key: list[str], config: EngineConfig = DEFAULT) -> DataFrame:
-    """(key, text, confidence, backend): embedded text where it suffices; the model sees the other pages only."""
-    has = pages.where(enough_text(F.col("text"), config=config)).select(*key, "text", F.lit(1.0).alias("confidence"), F.lit("pdf_text").alias("backend"))
-    rest = pages.where(~enough_text(F.col("text"), config=config))
-    read = recognized(rest, make, key).withColumn("good", meaningful(F.col("text"), config=config))
-    both = rest.select(*key, F.col("text").alias("own")).join(read, key, "left")
-    good = F.coalesce("good", F.lit(False))
-    return has.unionByName(both.select(*key, F.when(good, F.col("text")).otherwise(F.coalesce("own", F.lit(""))).alias("text"), F.when(good, F.col("confidence")).otherwise(F.lit(0.0)).alias("confidence"), F.when(good, F.lit("paddleocr")).otherwise(F.lit("pdf_text")).alias("backend")))
+def text_only_pages(pages: DataFrame, make: Callable[[], Backend], key: list[str], config: EngineConfig = DEFAULT, second: Callable[[], Backend] | None = None) -> DataFrame:
+    """(key, text, confidence, backend): embedded text where it suffices. The first model reads the other pages, the
+    second those of which the first makes nothing meaningful; the best of both and of the embedded text is taken.
+    Without any candidate a page's text is empty and its backend none."""
+    enough = F.coalesce(enough_text(F.col("text"), config=config), F.lit(False))
+    own = F.nullif(clean_ocr(text_of(F.col("text"))), F.lit(""))
+    has = pages.where(enough).select(*key, own.alias("text"), F.lit(1.0).alias("confidence"), F.lit("pdf_text").alias("backend"))
+    rest = pages.where(~enough)
+    tried = lambda read, name, priority: read.select(*key, "text", "confidence", F.lit(name).alias("backend"), F.lit(priority).alias("priority"))
+    one = once(recognized(rest, make, key))
+    found = tried(one, "paddleocr", 1).unionByName(tried(rest.select(*key, own.alias("text"), F.lit(1.0).alias("confidence")).where("text IS NOT NULL"), "pdf_text", 3))
+    if second is not None:
+        todo = rest.join(one.where(meaningful(F.col("text"), config=config)), key, "left_anti")
+        found = found.unionByName(tried(recognized(todo, second, key), "surya_page", 2))
+    best = best_candidate(found.where("text IS NOT NULL"), key, config).withColumnsRenamed({"text": "read", "confidence": "sure"})
+    read = rest.select(*key).join(best, key, "left")
+    return has.unionByName(read.select(*key, F.coalesce(clean_ocr(F.col("read")), F.lit("")).alias("text"), F.coalesce("sure", F.lit(0.0)).alias("confidence"), F.coalesce("backend", F.lit("none")).alias("backend")))
 
 
 def formula_chain(formulas: DataFrame, first: Callable[[], Backend], second: Callable[[], Backend], key: list[str], config: EngineConfig = DEFAULT) -> DataFrame:

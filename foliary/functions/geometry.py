@@ -30,8 +30,9 @@ def clamp(b: Column, width: Column, height: Column) -> Column:
     return box(x1, y1, F.when(x2 <= x1, F.least(width, x1 + 1)).otherwise(x2), F.when(y2 <= y1, F.least(height, y1 + 1)).otherwise(y2))
 
 
-def pad(b: Column, by: int) -> Column:
-    return box(b["x1"] - by, b["y1"] - by, b["x2"] + by, b["y2"] + by)
+def crop_box(b: Column, by: Column, width: Column, height: Column) -> Column:
+    """The part of a page image that a model sees of a box: widened by a margin, within the page."""
+    return clamp(box(b["x1"] - by, b["y1"] - by, b["x2"] + by, b["y2"] + by), width, height)
 
 
 def area(b: Column) -> Column:

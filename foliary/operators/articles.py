@@ -10,6 +10,7 @@ from foliary.functions.latex import compare_key, first_line, latex_document, lat
 from foliary.functions.text import first_of, let, strip
 from foliary.operators.metadata import author_like_head, filled_
 from foliary.operators.pages import block_text, latex_part, latex_review, ordered
+from foliary.schemas import CONTENT_BLOCKS
 
 
 def in_order(blocks: DataFrame, key: list[str]) -> DataFrame:
@@ -18,9 +19,34 @@ def in_order(blocks: DataFrame, key: list[str]) -> DataFrame:
     return blocks.withColumn("place", F.row_number().over(w))
 
 
+def sorted_blocks(blocks: Column) -> Column:
+    """An array of blocks by reading order, place on the page and id."""
+    rank = F.transform(blocks, lambda b: F.struct(b["reading_order"].alias("n"), b["bbox"]["y1"].alias("y"), b["bbox"]["x1"].alias("x"), b["block_id"].alias("id"), b.alias("block")))
+    return F.transform(F.array_sort(rank), lambda r: r["block"])
+
+
+def sorted_pages(pages: Column) -> Column:
+    """An array of pages by number, missing numbers last, and id."""
+    rank = F.transform(pages, lambda p: F.struct(F.coalesce(p["page_number"], F.lit(1_000_000_000)).alias("n"), p["page_content_id"].alias("id"), p.alias("page")))
+    return F.transform(F.array_sort(rank), lambda r: r["page"])
+
+
 def source_blocks(pages: Column, structured: Column, blocks: Column) -> Column:
-    """Which of an article's block arrays counts: its pages', else the structured content, else its blocks."""
-    return F.when(F.size(pages) > 0, pages).when(F.size(structured) > 0, structured).otherwise(blocks)
+    """The blocks of an article in order: of its pages, if it has any, else its structured content, else its blocks."""
+    of_pages = F.flatten(F.transform(sorted_pages(pages), lambda p: F.coalesce(sorted_blocks(p["blocks"]), F.array().cast(CONTENT_BLOCKS))))
+    return F.when(F.size(pages) > 0, of_pages).when(F.size(structured) > 0, sorted_blocks(structured)).otherwise(F.coalesce(sorted_blocks(blocks), F.array().cast(CONTENT_BLOCKS)))
+
+
+def textual_parts(blocks: Column) -> Column:
+    return F.filter(F.transform(F.filter(blocks, lambda b: b["type"].isin(TEXTUAL_TYPES)), lambda b: block_text(b["content"], b["latex"])), lambda x: x != "")
+
+
+def article_text_of(given: Column, pages: Column, sources: Column) -> Column:
+    """The text of an article: its own, else its pages' (readable text, page text or textual blocks), else that of its
+    textual blocks; sources: source_blocks()."""
+    of_page = lambda p: strip(first_of(p["readable_text"], p["page_text"], F.array_join(textual_parts(p["blocks"]), "\n")))
+    of_pages = F.array_join(F.filter(F.transform(sorted_pages(pages), of_page), lambda x: x != ""), "\n\n")
+    return first_of(strip(F.coalesce(given, F.lit(""))), of_pages, strip(F.array_join(textual_parts(sources), "\n")))
 
 
 def heads(articles: DataFrame, blocks: DataFrame, key: list[str]) -> DataFrame:

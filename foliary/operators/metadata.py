@@ -383,6 +383,11 @@ def primary_author(authors: Column) -> Column:
     return F.get(F.filter(F.transform(authors, strip), lambda a: a != ""), F.lit(0))
 
 
-def resolved(*values: Column) -> Column:
-    """The first of several titles or authors that is there; null without any."""
-    return F.nullif(first_of(*values), F.lit(""))
+def resolved(request: Column, own: Column, title: Column, author: Column, extracted: Column) -> Column:
+    """(title, author, documentclass) for LaTeX. The first of the three sources that is there counts, that is what the
+    request gives, what the article holds or what was extracted; title and author that it lacks come from the article,
+    then from what was extracted."""
+    found = F.struct(extracted["title"].alias("title"), primary_author(extracted["authors"]).alias("author"), F.lit("article").alias("documentclass"))
+    chosen_ = F.coalesce(request, own, F.when(extracted.isNotNull(), found))
+    pick = lambda name, mine: filled_(first_of(chosen_[name], mine, found[name]))
+    return F.struct(pick("title", title).alias("title"), pick("author", author).alias("author"), first_of(chosen_["documentclass"], F.lit("article")).alias("documentclass"))

@@ -21,6 +21,7 @@ def average_confidence(blocks: DataFrame, key: list[str]) -> DataFrame:
 
 
 def clamped_mean(c: Column) -> Column:
+    """Aggregate: the mean within 0 and 1, missing values left out; 0 without any."""
     return F.greatest(F.lit(0.0), F.least(F.lit(1.0), F.coalesce(F.avg(c), F.lit(0.0))))
 
 

@@ -79,5 +79,11 @@ def page_text_of(page_text: Column, readable: Column, joined: Column) -> Column:
     return first_of(page_text, readable, joined)
 
 
-def readable_text_of(page_text: Column, readable: Column, joined: Column, embedded: Column | None = None) -> Column:
-    return strip(first_of(readable, page_text, joined, *([embedded] if embedded is not None else [])))
+def readable_text_of(page_text: Column, readable: Column, joined: Column) -> Column:
+    """The text to read: the readable one where there is one."""
+    return strip(first_of(readable, page_text_of(page_text, readable, joined)))
+
+
+def shown_text_of(page_text: Column, readable: Column, embedded: Column) -> Column:
+    """The text that a reader is shown, down to what the file itself holds."""
+    return strip(first_of(readable, page_text, embedded))

@@ -6,7 +6,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from foliary.config import DEFAULT, TEXT_ROUTE_TYPES, EngineConfig
-from foliary.functions.text import first_of, strip, text_of, visible_length
+from foliary.functions.geometry import crop_box
+from foliary.functions.text import clean_ocr, strip, text_of, visible_length
 
 # Labels of the layout model, by the block type they stand for.
 LABELS = {
@@ -65,22 +66,25 @@ def routed(layout: DataFrame, page_key: list[str], prefix: Column) -> DataFrame:
     return out.withColumn("block_id", block_id(prefix, F.col("n"))).withColumn("route_to", route_of(F.col("type"))).withColumnsRenamed({"text": "seed_text", "latex": "seed_latex"}).drop("n")
 
 
-def defaulted(blocks: DataFrame, page_key: list[str]) -> DataFrame:
-    """Blocks of clients: missing ids by place in the page, missing routes by type."""
-    n = F.row_number().over(Window.partitionBy(*page_key).orderBy("reading_order", "bbox.y1", "bbox.x1"))
+def defaulted(blocks: DataFrame, page_key: list[str], place: str) -> DataFrame:
+    """Blocks of clients: missing ids by their place in what the client sent, missing routes by type."""
+    n = F.row_number().over(Window.partitionBy(*page_key).orderBy(place))
     return blocks.withColumn("block_id", F.coalesce(F.nullif("block_id", F.lit("")), F.format_string("block_%03d", n))).withColumn("route_to", F.coalesce(F.nullif("route_to", F.lit("")), route_of(F.col("type"))))
 
 
 def processed(blocks: DataFrame, config: EngineConfig = DEFAULT) -> DataFrame:
-    """Text-route blocks get content from recognition or, without it, their seeds, and a review flag; others pass on."""
-    text = F.col("route_to") == "text_pipeline"
-    content = first_of(F.col("ocr_text"), F.col("seed_text"))
-    sure = F.coalesce("ocr_confidence", "seed_confidence")
+    """Text-route blocks get content from recognition or, where that has failed (ocr_text is null), from their seeds, and
+    a review flag; others pass on."""
+    text, read = F.col("route_to") == "text_pipeline", F.col("ocr_text").isNotNull()
+    content = F.nullif(clean_ocr(F.when(read, F.col("ocr_text")).otherwise(text_of(F.col("seed_text")))), F.lit(""))
+    sure = F.when(read, F.col("ocr_confidence")).otherwise(F.coalesce("seed_confidence", F.lit(0.0)))
+    backend = F.when(read, "paddleocr").otherwise("surya_seed")
     return blocks.select(
-        *[c for c in blocks.columns if c not in ("content", "confidence", "needs_review", "latex")],
+        *[c for c in blocks.columns if c not in ("content", "confidence", "needs_review", "latex", "ocr_backend")],
         F.when(text, content).alias("content"),
         F.when(text, sure).alias("confidence"),
-        F.when(text, needs_review(content, sure, F.col("ocr_backend"), config)).otherwise(F.lit(False)).alias("needs_review"),
+        F.when(text, backend).otherwise("none").alias("ocr_backend"),
+        F.when(text, needs_review(content, sure, backend, config)).otherwise(F.lit(False)).alias("needs_review"),
         F.when(~text, F.col("seed_latex")).alias("latex"),
     )
 
@@ -88,12 +92,18 @@ def processed(blocks: DataFrame, config: EngineConfig = DEFAULT) -> DataFrame:
 def embedded_block(text: Column, page_number: Column) -> Column:
     """The one block of a page with embedded text."""
     return F.struct(
-        F.format_string("page_%d_block_001", page_number).alias("block_id"), F.lit("text").alias("type"), F.lit(1).alias("reading_order"),
+        F.format_string("page_%d_embedded_text", page_number).alias("block_id"), F.lit("text").alias("type"), F.lit(1).alias("reading_order"),
         F.struct(*[F.lit(v).alias(n) for n, v in (("x1", 0), ("y1", 0), ("x2", 1), ("y2", 1))]).alias("bbox"),
-        F.lit("text_pipeline").alias("route_to"), text.alias("content"), F.lit(1.0).alias("confidence"), F.lit(False).alias("needs_review"), F.lit("pdf_text").alias("ocr_backend"),
+        F.lit("text_pipeline").alias("route_to"), F.nullif(clean_ocr(text), F.lit("")).alias("content"), F.lit(1.0).alias("confidence"), F.lit(False).alias("needs_review"), F.lit("pdf_text").alias("ocr_backend"),
     )
 
 
+def crop_of(config: EngineConfig, width: int, height: int) -> Column:
+    """What of the page a block's model sees: formulas with a margin, texts as they are."""
+    formula = (F.col("route_to") == "formula_pipeline") | (F.col("type") == "formula")
+    return crop_box(F.col("bbox"), F.when(formula, config.crop_padding).otherwise(0), F.lit(width), F.lit(height))
+
+
 def formula_blocks(blocks: DataFrame) -> DataFrame:
     return blocks.where((F.col("route_to") == "formula_pipeline") | (F.col("type") == "formula"))
 

@@ -8,13 +8,14 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from foliary import backends
+from foliary.config import DEFAULT
 from foliary.functions import geometry as g
 from foliary.functions import latex as lx
 from foliary.functions import text as t
-from foliary.operators import articles, export, layout, metadata, metrics, pages, process, routing, segment, spell
+from foliary.operators import articles, export, layout, metadata, metrics, pages, predictions, process, routing, segment, spell
 from foliary.plans import sqltext as s
 from foliary.plans.fixtures import _literal, fixture, values
-from foliary.schemas import box
+from foliary.schemas import ARTICLE_CONTENT, box
 from foliary.sources import ingest, views
 from foliary.streaming import progress
 
@@ -196,6 +197,16 @@ def bbox_clamp(spark, d):
     return _clamped(views.blocks(spark, d), ["document_id", "block_id"])
 
 
+CROP_SQL = "(SELECT document_id, block_id, x1 - m AS x1, y1 - m AS y1, x2 + m AS x2, y2 + m AS y2 FROM (SELECT *, CASE WHEN type = 'formula' THEN 8 ELSE 0 END AS m FROM b_))"
+
+
+@query(f"WITH {s.BLOCKS} " + CLAMP_SQL.format(k="document_id, block_id", src=CROP_SQL))
+def crop_boxes(spark, d):
+    """What of a page each block's model is shown."""
+    c = views.blocks(spark, d).select("document_id", "block_id", routing.crop_of(DEFAULT, WIDTH, HEIGHT).alias("c"))
+    return c.select("document_id", "block_id", *[F.col(f"c.{x}").alias(f"c{x}") for x in ("x1", "y1", "x2", "y2")])
+
+
 @query(f"WITH {values('boxes')} " + CLAMP_SQL.format(k="id", src="fx"))
 def bbox_clamp_edges(spark, d):
     return _clamped(fixture(spark, "boxes").withColumn("bbox", box(*map(F.col, ("x1", "y1", "x2", "y2")))), ["id"])
@@ -348,17 +359,24 @@ def formula_choice(spark, d):
     return b.select("document_id", "block_id", routing.chosen_formula().alias("f")).select("document_id", "block_id", "f.latex", "f.backend")
 
 
-@query(f"WITH {s.PAGES} SELECT document_id, page_number, printf('page_%d_block_001', page_number) AS block_id, {s.strip('text')} AS content, 'pdf_text' AS ocr_backend FROM p_ WHERE {s.visible('text')} >= 40")
+@query(f"WITH {s.PAGES} SELECT document_id, page_number, printf('page_%d_embedded_text', page_number) AS block_id, nullif({s.clean_ocr('text')}, '') AS content, 'pdf_text' AS ocr_backend FROM p_ WHERE {s.visible('text')} >= 40")
 def embedded_pages(spark, d):
     p = views.doc_pages(spark, d).where(routing.enough_text(F.col("text")))
-    return p.select(*PAGE, routing.embedded_block(t.strip(F.col("text")), F.col("page_number")).alias("b")).select(*PAGE, "b.block_id", "b.content", "b.ocr_backend")
+    return p.select(*PAGE, routing.embedded_block(F.col("text"), F.col("page_number")).alias("b")).select(*PAGE, "b.block_id", "b.content", "b.ocr_backend")
 
 
-@query(f"WITH {s.PAGES} SELECT document_id, page_number, CASE WHEN {s.visible('text')} >= 20 AND {s.visible('text')} < 40 THEN 'paddleocr' ELSE 'pdf_text' END AS backend, {s.visible('text')} >= 40 AS embedded FROM p_")
+@query(
+    f"""WITH {s.PAGES}, i AS (SELECT document_id, page_number, substr(text, 1, CAST(doc_id % 60 AS INTEGER)) AS own, CASE WHEN doc_id % 3 = 0 THEN substr(text, 1, 10) ELSE text END AS shown FROM p_),
+    c AS (SELECT *, 1 AS priority, 'paddleocr' AS backend, shown AS t, 0.9 AS confidence FROM i WHERE {s.visible('own')} < 40 UNION ALL SELECT *, 2, 'surya_page', shown, 0.95 FROM i WHERE {s.visible('own')} < 40 AND {s.visible('shown')} < 20
+      UNION ALL SELECT *, 3, 'pdf_text', {s.clean_ocr('own')}, 1.0 FROM i WHERE {s.visible('own')} >= 40 OR {s.clean_ocr('own')} <> ''),
+    r AS (SELECT *, row_number() OVER (PARTITION BY document_id, page_number ORDER BY {s.visible('t')} >= 20 DESC, {s.visible('t')} DESC, confidence DESC, priority) AS n FROM c)
+    SELECT document_id, page_number, backend, {s.clean_ocr('t')} AS text, CAST(confidence AS DOUBLE) AS confidence FROM r WHERE n = 1"""
+)
 def text_only_mode(spark, d):
-    p = views.doc_pages(spark, d).select(*PAGE, "text", F.col("text").cast("binary").alias("image"))
-    out = backends.text_only_pages(p, backends.EchoOcr, PAGE)
-    return out.select(*PAGE, "backend", routing.enough_text(F.col("text")).alias("embedded"))
+    """Pages with part of their text embedded, and images of the whole or of very little."""
+    own, shown = F.substring("text", F.lit(1), (F.col("doc_id") % 60).cast("int")), F.when(F.col("doc_id") % 3 == 0, F.substring("text", 1, 10)).otherwise(F.col("text"))
+    p = views.doc_pages(spark, d).select(*PAGE, own.alias("text"), shown.cast("binary").alias("image"))
+    return backends.text_only_pages(p, backends.EchoOcr, PAGE, second=lambda: backends.EchoOcr(0.95))
 
 
 @query(
@@ -408,6 +426,57 @@ def latex_document(spark, d):
     return pages.page_contents(_blocks_with_formulas(spark, d), PAGE).select(*PAGE, "latex_document")
 
 
+@query(
+    f"""WITH {s.BLOCKS} SELECT document_id, page_number, pos, CASE WHEN pos % 2 = 0 THEN block_id ELSE printf('block_%03d', pos + 1) END AS block_id, CASE WHEN pos % 5 = 0 THEN 'image_pipeline' ELSE route_to END AS route_to FROM b_"""
+)
+def block_defaults(spark, d):
+    """Blocks as clients send them, some without id or route."""
+    b = views.blocks(spark, d).withColumn("block_id", F.when(F.col("pos") % 2 == 0, F.col("block_id")).otherwise("")).withColumn("route_to", F.when(F.col("pos") % 5 == 0, "image_pipeline"))
+    return routing.defaulted(b, PAGE, "pos").select(*PAGE, "pos", "block_id", "route_to")
+
+
+@query(f"WITH {s.BLOCKS} SELECT document_id, page_number, greatest(0.0, least(1.0, coalesce(avg(CASE WHEN pos % 3 <> 0 THEN CAST((doc_id + pos * 7) % 9 - 2 AS DOUBLE) / 4 END), 0.0)))::DOUBLE AS confidence FROM b_ GROUP BY document_id, page_number")
+def ocr_confidence(spark, d):
+    """Mean confidence of a page's lines, some without one."""
+    score = F.when(F.col("pos") % 3 != 0, ((F.col("doc_id") + F.col("pos") * 7) % 9 - 2) / 4.0)
+    return views.blocks(spark, d).groupBy(*PAGE).agg(metrics.clamped_mean(score).alias("confidence"))
+
+
+@query(
+    expected(
+        "id INTEGER, text VARCHAR, text_confidence DOUBLE, page VARCHAR, page_confidence DOUBLE, formula VARCHAR, formula_confidence DOUBLE",
+        [
+            (1, "one\ntwo", 0.75, "", 0.0, None, None),
+            (2, "alpha\nbeta", 0.5, "", 0.0, None, None),
+            (3, "nested", 0.5, "", 0.0, None, None),
+            (4, "", 0.0, "", 0.0, None, None),
+            (5, "", 0.0, "top\nlow", 0.75, "low\ntop", 0.75),
+            (6, "", 0.0, "x^2\ny", 0.5, "x^2\ny", 0.75),
+            (7, "", 0.0, "", 0.0, "a+b", 1.0),
+            (8, "", 0.0, "", 0.0, None, None),
+            (9, "", 0.0, "", 0.0, None, None),
+            (10, "", 0.0, "", 0.0, None, None),
+        ],
+    )
+)
+def prediction_readings(spark, d):
+    """Answers of models in their several shapes."""
+    c = F.col("answer")
+    r = fixture(spark, "answers").select("id", predictions.text_reading(c).alias("t"), predictions.page_reading(c, WIDTH, HEIGHT).alias("p"), predictions.formula_reading(c).alias("f"))
+    return r.select("id", "t.text", F.col("t.confidence").alias("text_confidence"), F.col("p.text").alias("page"), F.col("p.confidence").alias("page_confidence"), F.col("f.text").alias("formula"), F.col("f.confidence").alias("formula_confidence"))
+
+
+FIRST_TEXT = lambda *names: "coalesce(" + ", ".join(f"nullif({n}, '')" for n in names) + ", '')"
+
+
+@query(
+    f"""WITH {values('page_texts')} SELECT id, {FIRST_TEXT('page_text', 'readable', 'joined')} AS page_text, {s.strip(FIRST_TEXT('readable', 'page_text', 'joined'))} AS readable, {s.strip(FIRST_TEXT('readable', 'page_text', 'embedded'))} AS shown FROM fx"""
+)
+def page_text_precedence(spark, d):
+    c = [F.col(x) for x in ("page_text", "readable", "joined")]
+    return fixture(spark, "page_texts").select("id", pages.page_text_of(*c).alias("page_text"), pages.readable_text_of(*c).alias("readable"), pages.shown_text_of(c[0], c[1], F.col("embedded")).alias("shown"))
+
+
 @query(f"WITH {s.BLOCKS} SELECT document_id, page_number, round_even(sum(coalesce(confidence, 0)) / greatest(1, count(*)) * 1000, 0) / 1000 AS average_confidence FROM b_ GROUP BY document_id, page_number")
 def average_confidence(spark, d):
     return metrics.average_confidence(views.blocks(spark, d), PAGE)
@@ -649,6 +718,70 @@ def article_metadata(spark, d):
     return m.select("document_id", "article_id", "title", F.array_join("authors", "|").alias("authors"), "language", "year", "abstract", F.array_join("keywords", "|").alias("keywords"), F.size("references").alias("n_references"), F.to_json("field_sources").alias("field_sources"), F.to_json("confidence").alias("confidence"), "metadata_review")
 
 
+def _contents(spark) -> DataFrame:
+    """Articles as clients send them, with their source blocks and text."""
+    c = fixture(spark, "contents").select("id", F.from_json("content", ARTICLE_CONTENT).alias("c")).select("id", "c.*")
+    c = c.withColumn("sources", articles.source_blocks(F.col("pages"), F.col("structured_content"), F.col("blocks")))
+    return c.withColumn("article_text", articles.article_text_of(F.col("article_text"), F.col("pages"), F.col("sources")))
+
+
+@query(
+    expected(
+        "id INTEGER, block_ids VARCHAR, article_text VARCHAR",
+        [
+            (1, "h|t|a|n|z|p", "first readable\n\nsecond page"),
+            (2, "s1|s2", "own text"),
+            (3, "b2|b1|b3|b4", "head\nalpha"),
+            (4, "", ""),
+            (5, "c1|c2|c3|c4|c5|c6|c7", "Real title\nH\nnothing of a name 1\nIvanov I. I.; Petrov P. P.\nK. Late\nL. Never"),
+            (6, "d1|d2", "seven\n\nlast"),
+        ],
+    )
+)
+def article_sources(spark, d):
+    """Blocks and text of an article from its pages, its structured content or its blocks."""
+    return _contents(spark).select("id", F.array_join("sources.block_id", "|").alias("block_ids"), "article_text")
+
+
+@query(
+    expected(
+        "id INTEGER, title VARCHAR, title_source VARCHAR, authors VARCHAR, authors_source VARCHAR",
+        [
+            (1, "On Series", "title_block", "J. Smith", "post_title_blocks"),
+            (2, "T", "title_block", "", None),
+            (3, None, None, "", None),
+            (4, None, None, "", None),
+            (5, "Real title", "title_block", "Ivanov I. I|Petrov P. P|K. Late", "post_title_blocks"),
+            (6, None, None, "", None),
+        ],
+    )
+)
+def article_heads(spark, d):
+    """Title and authors from the blocks of an article before the head of its text."""
+    b = F.transform("sources", lambda x: F.struct(x["type"].alias("type"), pages.block_text(x["content"], x["latex"]).alias("text")))
+    m = metadata.extract_metadata(_contents(spark).select("id", "article_text", "title", "sources"), ["id"], b)
+    return m.select("id", "title", "title_source", F.array_join("authors", "|").alias("authors"), "authors_source")
+
+
+@query(
+    expected(
+        "id INTEGER, title VARCHAR, author VARCHAR, documentclass VARCHAR",
+        [
+            (1, "Extracted", "A. Author", "article"),
+            (2, "Article title", "R. Author", "book"),
+            (3, "Own", None, "article"),
+            (4, None, None, "article"),
+            (5, None, "Given", "article"),
+            (6, None, None, "article"),
+        ],
+    )
+)
+def latex_metadata(spark, d):
+    """Title, author and document class by the precedence of their sources."""
+    m = metadata.resolved(F.col("request"), F.col("metadata"), F.col("title"), F.col("author"), F.col("article_metadata"))
+    return _contents(spark).select("id", m.alias("m")).select("id", "m.*")
+
+
 # --- LaTeX articles -----------------------------------------------------------------------------------------------------
 
 

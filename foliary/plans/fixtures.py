@@ -2,8 +2,15 @@
 
 from __future__ import annotations
 
+import json
+
 from pyspark.sql import DataFrame, SparkSession
 
+
+def _block(id_: str, kind: str, order: int, content: str, y1: int = 0, latex: str | None = None) -> dict:
+    return {"block_id": id_, "type": kind, "reading_order": order, "bbox": {"x1": 0, "y1": y1, "x2": 9, "y2": y1 + 1}, "content": content, "latex": latex}
+
+
 TABLES: dict[str, tuple[str, list[tuple]]] = {
     "noisy": (
         "id int, text string",
@@ -47,6 +54,29 @@ TABLES: dict[str, tuple[str, list[tuple]]] = {
     "words": ("id int, token string", [(1, "теорня"), (2, "формула"), (3, "журнял"), (4, "статяь"), (5, "кот"), (6, "интегралл"), (7, "функцня"), (8, "абракадабра")]),
     "polygons": ("id int, points array<array<double>>", [(1, [[0.5, 1.5, 2.5, 3.5]]), (2, [[1.0, 2.0], [5.4, 2.0], [5.4, 9.6]]), (3, []), (4, None)]),
     "uploads": ("id int, name string, content_type string, size bigint", [(1, "a.pdf", "application/octet-stream", 10), (2, "b.bin", "application/pdf", 5), (3, "c.txt", "text/plain", 3), (4, "d.pdf", "application/pdf", 0), (5, "e.PDF", None, 7), (6, "f.png", "image/png", 9)]),
+    "page_texts": ("id int, page_text string, readable string, joined string, embedded string", [(1, "own", " readable ", "joined", "file"), (2, "", "readable", "joined", "file"), (3, "own ", "", "joined", "file"), (4, None, None, " joined ", " file "), (5, None, "", "", None)]),
+    "answers": (
+        "id int, answer string",
+        [
+            (1, '{"rec_texts":[" one ","","two"],"rec_scores":[0.5,1.0,0.25]}'), (2, '[[[1,2],["alpha",0.75]],[[3,4],["beta",0.25]]]'), (3, '[[[[1,2],["nested",0.5]],[[3,4],["",1.0]]]]'), (4, "[]"),
+            (5, '{"text_lines":[{"text":"low","confidence":0.5,"bbox":[0,50,100,60]},{"text":"top","confidence":1.0,"polygon":[[0,10],[90,10],[90,20],[0,20]]},{"text":" ","bbox":[0,0,5,5]}]}'),
+            (6, '{"lines":[{"text":"x^2","score":0.5},{"text":"y","confidence":1.0}]}'), (7, '{"text":" a+b ","avg_prob":1.5}'), (8, '{"text":""}'), (9, None), (10, '{"rec_texts":[],"rec_scores":[]}'),
+        ],
+    ),
+    "contents": (
+        "id int, content string",
+        [
+            (1, json.dumps({"title": "given", "article_text": "", "structured_content": [_block("s", "title", 1, "Ignored")], "article_metadata": {"title": "Extracted", "authors": [" ", " A. Author "]}, "pages": [
+                {"page_number": 2, "page_content_id": "b", "page_text": "second page", "blocks": [_block("p", "text", 1, "second page")]},
+                {"page_number": 1, "page_content_id": "a", "page_text": "x", "readable_text": " first readable ", "blocks": [_block("z", "text", 5, "C. Jones"), _block("n", "text", 4, "No author here."), _block("t", "title", 2, "On Series\nsubtitle"), _block("a", "text", 3, "J. Smith"), _block("h", "header", 1, "H")]},
+            ]})),
+            (2, json.dumps({"title": "Article title", "article_text": "  own text ", "pages": [], "structured_content": [_block("s2", "text", 2, "B"), _block("s1", "title", 1, "", latex=" T ")], "blocks": [_block("b", "title", 1, "Ignored")], "request": {"author": "R. Author", "documentclass": "book"}, "metadata": {"title": "M"}})),
+            (3, json.dumps({"article_text": " ", "blocks": [_block("b4", "page_number", 1, "3", 9), _block("b3", "text", 1, "alpha", 5), _block("b1", "image", 1, "picture", 3), _block("b2", "header", 1, "head", 1)], "metadata": {"title": "Own", "author": ""}})),
+            (4, "{}"),
+            (5, json.dumps({"blocks": [_block("c1", "title", 1, " "), _block("c2", "title", 2, "Real title"), _block("c3", "header", 3, "H"), _block("c4", "text", 4, "nothing of a name 1"), _block("c5", "text", 5, "Ivanov I. I.; Petrov P. P."), _block("c6", "text", 6, "K. Late"), _block("c7", "text", 7, "L. Never")], "author": "Given", "article_metadata": {"title": "", "authors": []}})),
+            (6, json.dumps({"pages": [{"page_number": None, "page_content_id": "a", "blocks": [_block("d2", "text", 2, "last"), _block("d1", "formula", 1, "f")]}, {"page_number": 7, "page_content_id": "b", "page_text": "seven", "blocks": []}]})),
+        ],
+    ),
     "payloads": ("id int, payload string", [(1, '[{"block_id":"a","type":"text","reading_order":1,"bbox":[0,0,1,1],"confidence":0.5}]'), (2, '{"type":"text"}'), (3, '[{"block_id":"b","type":"weird","reading_order":1,"bbox":[0,0,1,1]}]'), (4, '[{"block_id":"c","type":"text","reading_order":0,"bbox":[0,0,1,1]},{"block_id":"d","type":"image","reading_order":2,"bbox":[0,0,1]}]'), (5, "[]")]),
 }
 

@@ -22,6 +22,14 @@ METADATA = (
     "struct<title:string,authors:array<string>,language:string,year:int,abstract:string,keywords:array<string>,"
     f"references:array<{REFERENCE}>,needs_review:boolean,field_sources:map<string,string>,confidence:map<string,double>>"
 )
+CONTENT_BLOCKS = f"array<struct<block_id:string,type:string,reading_order:int,bbox:{BBOX},content:string,latex:string>>"
+_LATEX_METADATA = "struct<title:string,author:string,documentclass:string>"
+#: An article as a client sends it, with what its pages, blocks and metadata hold.
+ARTICLE_CONTENT = (
+    f"struct<title:string,author:string,article_text:string,structured_content:{CONTENT_BLOCKS},blocks:{CONTENT_BLOCKS},"
+    f"pages:array<struct<page_number:int,page_content_id:string,page_text:string,readable_text:string,blocks:{CONTENT_BLOCKS}>>,"
+    f"metadata:{_LATEX_METADATA},request:{_LATEX_METADATA},article_metadata:struct<title:string,authors:array<string>>>"
+)
 #: Blocks as a client sends them: bbox is an array of four numbers.
 BLOCK_PAYLOAD = "array<struct<block_id:string,type:string,reading_order:int,bbox:array<int>,route_to:string,content:string,latex:string,confidence:double>>"
 

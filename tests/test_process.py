@@ -15,6 +15,9 @@ def failing():
                 raise ValueError("no layout")
             return p.LineLayout().blocks(image)
 
+        def crop(self, image, box):
+            return p.LineLayout().crop(image, box)
+
     return Failing()
 
 
@@ -49,12 +52,35 @@ def test_a_failing_page_leaves_the_others(source):
     found = p.found_blocks(source, local(failing))
     assert [r.error for r in found.where("page_number = 2").collect()] == ["ValueError: no layout"]
     contents, articles = p.process(source, "full", EchoOcr, local(failing))
-    assert {r.page_number for r in contents.collect()} == {1, 3}
+    assert {r.page_number: r.error for r in contents.collect()} == {1: None, 2: "ValueError: no layout", 3: None}
     done = source.join(found.groupBy("document_id", "page_number").agg(F.first("error", True).alias("layout_error")), ["document_id", "page_number"])
     s = document_summary(done.select("document_id", (F.length("text") > 40).alias("has_text"), "layout_error", F.lit(None).cast("string").alias("content_error"), F.col("layout_error").isNull().alias("layout_done"), F.lit(True).alias("content_done")), ["document_id"]).first()
     assert (s.total_pages, s.with_text, s.layout_ok, s.layout_error_count) == (3, 1, 2, 1)
 
 
+def broken():
+    class Broken:
+        def predict(self, batch):
+            raise ValueError("no model")
+
+    return Broken()
+
+
+def test_seeds_stand_in_for_a_failing_model(source):
+    contents, _ = p.process(source, "full", local(broken), p.LineLayout)
+    r = {x.page_number: x for x in contents.collect()}
+    assert r[1].page_text == ROWS[0][3] and r[1].needs_review_count == 2
+
+
+def test_text_only_takes_the_best_candidate(spark):
+    from foliary import backends
+
+    rows = [("d", 1, "", "x"), ("d", 2, "some embedded words", "words"), ("d", 3, None, "a meaningful recognised text"), ("d", 4, None, "")]
+    s = spark.createDataFrame(rows, "document_id string, page_number int, text string, image string").withColumn("image", F.col("image").cast("binary"))
+    out = backends.text_only_pages(s, EchoOcr, p.KEY, second=EchoOcr)
+    assert {r.page_number: (r.backend, r.text) for r in out.collect()} == {1: ("paddleocr", "x"), 2: ("pdf_text", "some embedded words"), 3: ("paddleocr", rows[2][3]), 4: ("paddleocr", "")}
+
+
 def test_unknown_modes_are_refused(source):
     with pytest.raises(ValueError):
         p.process(source, "fast", EchoOcr, p.LineLayout)
