@@ -927,7 +927,16 @@ def archive_files(spark, d):
     return f.groupBy("document_id").agg(F.count(F.lit(1)).alias("files"), F.min("path").alias("first_path"), F.max("path").alias("last_path"))
 
 
-@query()
+READER_SQL = "({e} <> '' AND length({e}) <= 160 AND len(list_filter(string_split({e}, ' '), lambda w: w <> '')) <= 16 AND NOT regexp_matches({e}, " + s.q(NO_SIGNS) + ") AND regexp_matches({e}, " + s.q(READER_INITIAL) + "))"
+
+
+@query(
+    f"""WITH {s.BLOCKS}, k AS (SELECT document_id, page_number, reading_order, type, CASE type WHEN 'table' THEN '[TABLE]' WHEN 'image' THEN '[IMAGE]' ELSE {s.strip('content')} END AS shown FROM b_ WHERE type NOT IN ('page_number', 'header', 'footer')),
+    l AS (SELECT *, coalesce(lag(type) OVER (PARTITION BY document_id, page_number ORDER BY reading_order), '') AS prior, {s.escape_html('shown')} AS e FROM k WHERE shown <> ''),
+    h AS (SELECT document_id, page_number, reading_order, CASE WHEN type = 'title' THEN '<h3>' || e || '</h3>' WHEN type = 'formula' THEN {s.q("<div class='formula'>")} || e || '</div>' WHEN type IN ('table', 'image') THEN {s.q("<div class='placeholder'>")} || e || '</div>'
+      WHEN type = 'text' AND prior = 'title' AND {READER_SQL.replace('{e}', 'shown')} THEN {s.q("<p class='author'>")} || e || '</p>' ELSE '<p>' || e || '</p>' END AS part FROM l)
+    SELECT document_id, page_number, '<html><body><section>' || string_agg(part, '' ORDER BY reading_order) || '</section></body></html>' AS html FROM h GROUP BY document_id, page_number"""
+)
 def readable_html(spark, d):
     b = views.blocks(spark, d).groupBy(*PAGE).agg(F.array_sort(F.collect_list(F.struct("reading_order", "type", "content"))).alias("b"))
     kinds = export.readable_kinds(F.transform("b", lambda x: F.struct(x["type"].alias("type"), x["content"].alias("content"))))

@@ -80,6 +80,13 @@ def preview(e: str) -> str:
     return strip(rx(rx(strip(f"replace({e}, chr(13), chr(10))"), r"[ \t]{2,}", " "), r"\n{3,}", "\n\n"))
 
 
+def escape_html(e: str) -> str:
+    e = newlines(e)
+    for char, entity in (("&", "&amp;"), ("<", "&lt;"), (">", "&gt;"), ('"', "&quot;"), ("'", "&#x27;")):
+        e = f"replace({e}, {q(char)}, {q(entity)})"
+    return f"replace({e}, chr(10), '<br />')"
+
+
 def ends_sentence(e: str) -> str:
     e = rx(strip(rx(f"coalesce({e}, '')", r"<<(?:FORMULA|TABLE|IMAGE)_[A-Za-z0-9_.-]+>>")), r"\s+", " ")
     return f"regexp_matches({e}, " + q(r"[.!?…:;,][\"'»”)\]]*\s*$") + ")"
