@@ -180,6 +180,22 @@ def test_models_in_parts_are_the_whole_model(docs, odd):
     assert len(trained.parts) > 1 and sorted(b for p in trained.parts for b in p) == list(range(op2_language.BUCKETS))
 
 
+def test_calibration_takes_every_document_set_aside(spark, docs):
+    some = {lang: [r.text[:90] for r in docs.where(F.col("lang") == lang).orderBy("doc_id").limit(60).collect()] for lang in ("de", "fr")}
+    rows = [(i, some[lang][i // 2 % len(some[lang])], lang) for i in range(21_000) for lang in [("de", "fr")[i % 2]]]
+    trained = op2_language.fit(spark.createDataFrame(rows, "doc_id bigint, text string, lang string"))
+    aside = [(text, trained.langs.index(lang)) for i, text, lang in rows if zlib.crc32(str(i).encode()) % 5 == op2_language.SET_ASIDE]
+    assert len(aside) > 4100
+    found = [(*x, i) for x, (_, i) in zip(op2_language.Scorer(trained.whole)([t for t, _ in aside]), aside, strict=True) if x[1]]
+    for i, lang in enumerate(trained.langs):
+        p, n = np.array([(p[i], n) for p, n, own in found if own == i]).T
+        mean = -p.sum() / n.sum()
+        assert trained.known["mean"][lang] == pytest.approx(mean, abs=1e-8)
+        assert trained.known["spread"][lang] == pytest.approx(np.sqrt((n * (-p / n - mean) ** 2).mean()), abs=1e-6)
+    loss = lambda k: sum(np.log(np.exp(k * (p - p[i]) / np.sqrt(n)).sum()) for p, n, i in found)
+    assert trained.known["scale"] == min((2.0**k for k in range(-4, 5)), key=loss)
+
+
 def test_gibberish_is_rejected(spark, docs):
     trained = op2_language.fit(docs)
     rows = spark.createDataFrame([(1, "xqzj vwkx qqzz jxkv zzqx " * 20), (2, "!!! 123"), (3, None)], "doc_id int, text string")
