@@ -19,7 +19,8 @@ def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near-copies: five-word shingles with a Jaccard similarity of 0.8 or more."""
+    """One document of each group of near-copies: five-word shingles with a Jaccard similarity of 0.8 or more, verified for
+    the pairs that op4's fingerprints and pigeonhole search link, then for those of MinHash."""
     return keep_one(docs)
 
 

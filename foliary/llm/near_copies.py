@@ -1,12 +1,15 @@
 """Near-copies of the pipeline: texts whose sets of five-word shingles have a Jaccard similarity of 0.8 or more.
 
-Candidates share a bucket of MinHash: of BANDS bands of ROWS minima each, a pair of similarity s has one in common with
+Candidates come from op4 first: SimHash fingerprints of the shingle sets, linked by the generalised pigeonhole principle at
+DISTANCE bits; each group so linked is a bucket. Texts near 0.8 differ in more bits than a pigeonhole search can afford, so
+the rest of the candidates share a bucket of MinHash: of BANDS bands of ROWS minima each, a pair of similarity s has one in common with
 probability 1 - (1 - s^ROWS)^BANDS, which misses fewer than one pair in 20 million at 0.8 and fewer above. Candidates are
 verified on their whole shingle sets in integers, so no pair below 0.8 links.
 
 Skew: texts of equal shingle sets are one vertex from the start, buckets of equal members are verified once, a bucket of
 more than SHARE shingles is cut into blocks and verified by pairs of blocks, and a block gives only edges that connect what
-was not connected, never all of its pairs. Bands are taken in rounds, so large groups are verified in the first few alone.
+was not connected, never all of its pairs. Groups of fingerprints, then bands are taken in rounds, so large groups are
+verified in the first few alone.
 """
 
 from __future__ import annotations
@@ -21,13 +24,17 @@ from pyspark.sql import functions as F
 
 from foliary.llm.common import cut, discard, small_batches, staged
 from foliary.llm.components import components
+from foliary.llm.op4_simhash import links, majority
 
 WORDS = 5
 #: Jaccard similarity of near-copies, as a fraction.
 NEAR, OF = 4, 5
 BANDS, ROWS = 32, 4
-#: Bands up to which a round goes: few bands connect most copies, and the others then have little left to verify.
-ROUNDS = (2, 8, BANDS)
+#: Differing bits at which fingerprints link.
+DISTANCE = 6
+#: Bands up to which a round goes, groups of fingerprints being band -1: these and few bands connect most copies, and the
+#: others then have little left to verify.
+ROUNDS = (0, 2, BANDS)
 #: Shingles of one block of a bucket.
 SHARE = 1 << 20
 #: Shingles taken at once, which bounds the memory of very long texts.
@@ -63,17 +70,19 @@ def band_keys(terms: np.ndarray) -> np.ndarray:
 
 
 def marked(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """(doc_id, h, v, size, keys): h is a hash of the text, v one of its set of shingles, of which there are `size`."""
+    """(doc_id, h, v, size, fp, keys): h is a hash of the text, v one of its set of shingles, of which there are `size`; fp
+    is their fingerprint."""
     small_batches(docs.sparkSession)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
             sets = [shingles(x if isinstance(x, str) else None) for x in b["text"]]
             v = np.array([xxhash.xxh64_intdigest(s.tobytes()) for s in sets], "u8").view("i8")
-            yield pd.DataFrame({"doc_id": b["doc_id"].astype("Int64"), "h": b["h"], "v": v, "size": list(map(len, sets)), "keys": [band_keys(s) for s in sets]})
+            fp = np.array(list(map(majority, sets)), "u8").view("i8")
+            yield pd.DataFrame({"doc_id": b["doc_id"].astype("Int64"), "h": b["h"], "v": v, "size": list(map(len, sets)), "fp": fp, "keys": [band_keys(s) for s in sets]})
 
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.xxhash64(text_col).alias("h"), F.col(text_col).alias("text"))
-    return rows.mapInPandas(run, "doc_id long, h long, v long, size long, keys array<long>")
+    return rows.mapInPandas(run, "doc_id long, h long, v long, size long, fp long, keys array<long>")
 
 
 def forest(v: list[int], roots: list[int], sets: list[np.ndarray]) -> list[tuple[int, int]]:
@@ -110,20 +119,28 @@ def forest(v: list[int], roots: list[int], sets: list[np.ndarray]) -> list[tuple
     return out
 
 
+def linked_fingerprints(vertices: DataFrame, distance: int = DISTANCE) -> DataFrame:
+    """(v, size, band -1, key): the group of linked fingerprints that each vertex with shingles lies in."""
+    rows = vertices.where("size > 0").select("v", "size", "fp")
+    roots = components(links(cut(rows.select("fp").distinct()), distance))
+    key = F.coalesce("root", "fp").alias("key")
+    return rows.join(roots.select(F.col("u").alias("fp"), F.col("v").alias("root")), "fp", "left").select("v", "size", F.lit(-1).alias("band"), key)
+
+
 def groups_of(vertices: DataFrame, docs: DataFrame, id_col: str, text_col: str, share: int = SHARE, rounds: tuple[int, ...] = ROUNDS) -> DataFrame:
     """(u, v): each vertex that near-copies connect with another one, except the smallest of a group, with that smallest.
 
-    vertices: (v, size, keys, doc_id, h: a row of docs with that set). Bands are taken in rounds; a later round looks only
-    at buckets whose members are not all connected yet.
+    vertices: (v, size, fp, keys, doc_id, h: a row of docs with that set). Groups of fingerprints and bands are taken in
+    rounds; a later round looks only at buckets whose members are not all connected yet.
     """
-    rows = vertices.where("size > 0").select("v", "size", F.posexplode("keys").alias("band", "key"))
+    rows = linked_fingerprints(vertices).unionAll(vertices.where("size > 0").select("v", "size", F.posexplode("keys").alias("band", "key")))
     several = rows.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("key")
     rows = cut(rows.join(several, "key"))
     needed = vertices.join(rows.select("v").distinct(), "v", "left_semi").select("v", F.col("doc_id").alias("i"), F.col("h").alias("t"))
     texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.xxhash64(text_col).alias("h"), F.col(text_col).alias("text"))
     texts = texts.join(needed, F.col("doc_id").eqNullSafe(F.col("i")) & (F.col("h") == F.col("t")))
     texts = staged(texts.groupBy("v").agg(F.min("text").alias("text")))
-    known, begin = None, 0
+    known, begin = None, -1
     for end in rounds:
         some = rows.where((F.col("band") >= begin) & (F.col("band") < end)).drop("band")
         some = some.withColumn("root", F.col("v")) if known is None else some.join(known.select(F.col("u").alias("v"), F.col("v").alias("root")), "v", "left").withColumn("root", F.coalesce("root", "v"))
@@ -166,8 +183,8 @@ def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", sh
     """One row of docs of each group of near-copies, linked directly or in steps: that of the smallest doc_id (null last),
     of several the one whose text has the smallest hash. Null, empty and blank texts are one group. All columns are kept."""
     marks = cut(marked(docs, id_col, text_col))
-    vertices = marks.groupBy("v").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "h")).alias("w"), F.first("size").alias("size"), F.first("keys").alias("keys"))
-    vertices = cut(vertices.select("v", "w", "w.doc_id", "w.h", "size", "keys"))
+    vertices = marks.groupBy("v").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "h")).alias("w"), F.first("size").alias("size"), F.first("fp").alias("fp"), F.first("keys").alias("keys"))
+    vertices = cut(vertices.select("v", "w", "w.doc_id", "w.h", "size", "fp", "keys"))
     roots = groups_of(vertices, docs, id_col, text_col, share)
     of = vertices.select("v", "w").join(roots.select(F.col("u").alias("v"), F.col("v").alias("root")), "v", "left")
     first = of.groupBy(F.coalesce("root", "v").alias("root")).agg(F.min("w").alias("w"))
