@@ -11,9 +11,12 @@ from __future__ import annotations
 import zlib
 from array import array
 from collections.abc import Iterator
+from functools import partial
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -26,10 +29,14 @@ END = 0
 BLOCK_IDS = 1 << 19
 #: Documents of a range of doc_id, which is one task of the writer.
 ROWS = 4096
-#: Words of one generation of a worker's cache. When it is full, what the last generation has used is kept.
-CACHE = 800_000
+#: Documents of a batch of the tokenizer: the more, the fewer times a word is looked up.
+BATCH = 2048
+#: Words of one generation of a worker's cache, after a space and without one. When it is full, what the last generation has used is kept.
+CACHE, LINES = 800_000, 200_000
 #: ASCII characters that are no letter, digit or white space; a run of them after a letter or digit is cut off by the vocabulary's pattern.
 MARKS = "!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~"
+#: Words that white space other than single spaces and line feeds has left: nothing, a line feed alone, any with such a character.
+ODD = "^\n?$|[\t\x0b-\r\x1c-\x1f\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]"
 
 
 def byte_characters() -> dict[int, int]:
@@ -39,41 +46,25 @@ def byte_characters() -> dict[int, int]:
     return {b: b for b in plain} | {b: 0x100 + i for i, b in enumerate(rest)}
 
 
-class _Odd(Exception):
-    """The text has other white space than single spaces and line feeds between words."""
-
-
 class _Words(dict):
-    """Encoded words with what stands before them, each met for the first time by the library."""
+    """Encoded words, each met for the first time by `encode`."""
 
-    def __init__(self, ids, letters, end: bytes, before: str):
+    def __init__(self, encode, most: int):
         super().__init__()
-        self.ids, self.letters, self.end, self.before, self.old = ids, letters, end, before, {}
-        self.line = self
+        self.encode, self.most, self.old = encode, most, {}
 
     def __missing__(self, word: str) -> bytes:
-        out = self.old.pop(word, None)
-        if out is None:
-            if word.isalpha():
-                out = self.letters(self.before, word)
-            elif word.split() != [word]:
-                first, *rest = word.split("\n")
-                if not first or not all(rest) or any(x.split() != [x] for x in (first, *rest)):
-                    raise _Odd
-                return self.end.join([self[first], *map(self.line.__getitem__, rest)])
-            else:
-                bare = word.rstrip(MARKS)
-                if bare and bare != word and bare[-1].isalnum():
-                    out = self[bare] + self.line[word[len(bare) :]]
-                else:
-                    out = self.ids(self.before + word)
-        self[word] = out
+        out = self[word] = self.old.pop(word, None) or self.encode(word)
         return out
 
-    def age(self) -> None:
-        if len(self) > CACHE:
+    def of(self, words: pa.Array) -> pa.Array:
+        """What they are encoded to; an empty one is nothing."""
+        if len(self) > self.most:
             self.old = dict(self)
             self.clear()
+        known = words.dictionary_encode()
+        found = [self[x] if x else b"" for x in known.dictionary.to_numpy(zero_copy_only=False).tolist()]
+        return pa.DictionaryArray.from_arrays(known.indices, pa.array(found, pa.large_binary())).dictionary_decode()
 
 
 class Encoder:
@@ -81,6 +72,7 @@ class Encoder:
 
     The vocabulary's own pattern never joins across a single space or line feed between two other characters, nor from
     a letter or digit to a punctuation mark, so a text is cut there and each distinct piece is encoded once per worker.
+    Arrow cuts all texts of a batch, numbers their distinct words, and puts the ids in the words' places.
     A text with any other white space, or with an added token's content, goes to the library as a whole. Either way the
     ids are those of the library on the whole text.
     """
@@ -95,31 +87,66 @@ class Encoder:
         self.width = array(self.code).itemsize
         self.model, self.shown = self.library.model, byte_characters()
         self.space = chr(self.shown[32])
-        end = self.ids("\n")
-        self.line, self.word = (_Words(self.ids, self.letters, end, before) for before in ("", " "))
-        self.word.line = self.line
+        self.feed = self.ids("\n")
+        self.line, self.word = (_Words(partial(self.piece, before), most) for before, most in (("", LINES), (" ", CACHE)))
 
     def ids(self, text: str) -> bytes:
         return array(self.code, self.library.encode(text, add_special_tokens=False).ids).tobytes()
 
-    def letters(self, before: str, word: str) -> bytes:
-        """Ids of one piece of the pattern, straight from the library's model."""
+    def piece(self, before: str, word: str) -> bytes:
+        """Ids of a word with what stands before it; one of letters is one piece of the pattern, straight from the library's model."""
+        if not word.isalpha():
+            return self.ids(before + word)
         if word.isascii():
             shown = self.space + word if before else word
         else:
             shown = (before + word).encode().decode("latin-1").translate(self.shown)
         return array(self.code, [t.id for t in self.model.tokenize(shown)]).tobytes()
 
+    def words(self, words: pa.Array, first: pa.Array) -> pa.Array:
+        """Ids of words that may have a line feed before or else follow a space, unless they are the first of a text."""
+        trimmed = pc.ascii_rtrim(words, MARKS)
+        cut = pc.match_substring_regex(trimmed, "[\\pL\\pN]$")
+        marks = pc.if_else(cut, pc.replace_substring_regex(words, "(?s)^.*[^!-/:-@\\[-`{-~]", ""), "")
+        bare, fed = pc.ascii_ltrim(pc.if_else(cut, trimmed, words), "\n"), pc.starts_with(words, "\n")
+        after = pc.or_(fed, first)
+        feed = pc.if_else(fed, pa.scalar(self.feed, pa.large_binary()), pa.scalar(b"", pa.large_binary()))
+        parts = self.word.of(pc.if_else(after, "", bare)), self.line.of(pc.if_else(after, bare, "")), self.line.of(marks)
+        return pc.binary_join_element_wise(feed, *parts, pa.scalar(b"", pa.large_binary()))
+
+    def texts(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """(ids of all texts, each with END behind; how many of them each text has). A null text has END alone."""
+        texts = texts.cast(pa.large_string())
+        # A word has its line feed before it; "" and a lone line feed stand beside other white space.
+        words = pc.split_pattern(pc.replace_substring(texts, "\n", " \n"), " ")
+        n = words.value_lengths().fill_null(0).to_numpy(zero_copy_only=False).astype(np.int64)
+        stop = np.cumsum(n)
+        known = words.flatten().dictionary_encode()
+        at, names = known.indices.to_numpy(zero_copy_only=False).astype(np.int64), known.dictionary
+        whole = np.zeros(len(n), bool)
+        odd = pc.match_substring_regex(names, ODD).to_numpy(zero_copy_only=False)
+        if odd.any():
+            whole[np.repeat(np.arange(len(n)), n)[odd[at]]] = True
+        for x in self.added:
+            whole |= pc.match_substring(texts, x).fill_null(False).to_numpy(zero_copy_only=False)
+        begin = (stop - n)[(n > 0) & ~whole]
+        lead, k = np.unique(at[begin], return_inverse=True)
+        at[begin] = len(names) + k
+        end = len(names) + len(lead)
+        at[np.repeat(whole, n)] = end + 1
+        names = pa.concat_arrays([pc.if_else(pa.array(np.bincount(at, minlength=end)[: len(names)] > 0), names, ""), names.take(pa.array(lead))])
+        pieces = [array(self.code, [END]).tobytes(), b""]
+        for i in np.flatnonzero(whole).tolist():
+            at[stop[i] - n[i]] = end + len(pieces)
+            pieces.append(self.ids(texts[i].as_py()))
+        pieces = pa.concat_arrays([self.words(names, pa.array(np.arange(end) >= end - len(lead))), pa.array(pieces, pa.large_binary())])
+        placed = pa.DictionaryArray.from_arrays(np.insert(at, stop, end), pieces).dictionary_decode()
+        _, offsets, data = placed.buffers()
+        to = np.frombuffer(offsets, np.int64, len(placed) + 1)[np.r_[0, stop + np.arange(1, len(n) + 1)]] // self.width
+        return np.frombuffer(data, f"u{self.width}", to[-1]), np.diff(to)
+
     def __call__(self, text: str) -> bytes:
-        if any(x in text for x in self.added):
-            return self.ids(text)
-        self.line.age()
-        self.word.age()
-        first, *rest = text.split(" ")
-        try:
-            return self.line[first] + b"".join(map(self.word.__getitem__, rest))
-        except _Odd:
-            return self.ids(text)
+        return self.texts(pa.array([text]))[0][:-1].tobytes()
 
 
 _encoders: dict[str, Encoder] = {}
@@ -144,22 +171,29 @@ def default_path() -> str:
 def tokenize(docs: DataFrame, id_col: str, text_col: str, path: str, points: list[int]) -> DataFrame:
     """(bucket, doc_id, n, ids, counts): each document's packed ids, and per task one row with only counts: the n ids that
     the task has met, as uint32, and how often, as int64."""
-    small_batches(docs.sparkSession)
+    small_batches(docs.sparkSession, BATCH)
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def row_batch(*columns: pa.Array) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays(list(columns), names=["bucket", "doc_id", "n", "ids", "counts"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encode, counts = encoder(path), np.zeros(0, np.int64)
-        end, kind = array(encode.code, [END]).tobytes(), f"u{encode.width}"
         for b in batches:
-            found = [encode(x) + end if isinstance(x, str) else end for x in b["text"]]
-            c = np.bincount(np.frombuffer(b"".join(found), kind), minlength=len(counts))
+            if not b.num_rows:
+                continue
+            ids, n = encode.texts(b.column("text"))
+            c = np.bincount(ids, minlength=len(counts))
             c[: len(counts)] += counts
             counts = c
-            yield pd.DataFrame({"bucket": b["bucket"], "doc_id": b["doc_id"].astype("Int64"), "n": [len(x) // encode.width for x in found], "ids": found, "counts": None})
+            offsets = np.r_[0, np.cumsum(n)] * encode.width
+            found = pa.Array.from_buffers(pa.large_binary(), len(n), [None, pa.py_buffer(offsets), pa.py_buffer(ids)]).cast(pa.binary())
+            yield row_batch(b.column("bucket"), b.column("doc_id"), pa.array(n, pa.int64()), found, pa.nulls(len(n), pa.binary()))
         at = np.flatnonzero(counts).astype("<u4")
-        yield pd.DataFrame({"bucket": [None], "doc_id": pd.array([None], "Int64"), "n": [len(at)], "ids": [None], "counts": [at.tobytes() + counts[at].astype("<i8").tobytes()]})
+        met = at.tobytes() + counts[at].astype("<i8").tobytes()
+        yield row_batch(pa.nulls(1, pa.int32()), pa.nulls(1, pa.int64()), pa.array([len(at)], pa.int64()), pa.nulls(1, pa.binary()), pa.array([met], pa.binary()))
 
     rows = docs.select(range_of(points, F.col(id_col).cast("long")).alias("bucket"), F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    return rows.mapInPandas(run, "bucket int, doc_id long, n long, ids binary, counts binary")
+    return rows.mapInArrow(run, "bucket int, doc_id long, n long, ids binary, counts binary")
 
 
 def id_counts(tokens: DataFrame) -> np.ndarray:
@@ -186,6 +220,7 @@ def write_ids(docs: DataFrame, path: str | None = None, id_col: str = "doc_id",
     ids = docs.select(F.col(id_col).cast("long").alias("doc_id"))
     points = split_points(ids, ROWS)
     tokens = staged(tokenize(docs, id_col, text_col, path or default_path(), points))
+    small_batches(docs.sparkSession)
     length = huffman.lengths(id_counts(tokens))
     per = tokens.where("counts IS NULL").groupBy("bucket").agg(F.sum("n").alias("n")).collect()
     firsts, at = {}, 0
